@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, pii, quality, toxicity, urls
+from . import bpe, media, minhash, packing, pii, quality, toxicity, urls
 
 #: The tokenizer file, of the installed package of public vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))[0]
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_quality, op6_pii, op7_media, op8_bpe, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_quality, op5_minhash, op6_pii, op7_media, op8_bpe, op10_urls)}
 ORACLE_SQL: dict[str, str] = {}

@@ -44,8 +44,8 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keyed(df: DataFrame, id_col: str) -> DataFrame:
-    """Add `_row`, a long that is unique to each row.
+def keyed(df: DataFrame, id_col: str, name: str = ROW) -> DataFrame:
+    """Add the column `name`, a long that is unique to each row.
 
     It is the id itself where ids are unique and not null, which one pass over
     the id column establishes.  Otherwise the rows are written once with
@@ -55,8 +55,8 @@ def keyed(df: DataFrame, id_col: str) -> DataFrame:
     ids = df.select(F.col(id_col).cast("long").alias("i"))
     twice = ids.groupBy("i").count().filter("count > 1 or i is null")
     if twice.isEmpty():
-        return df.withColumn(ROW, F.col(id_col).cast("long"))
-    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+        return df.withColumn(name, F.col(id_col).cast("long"))
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def free_name(df: DataFrame, name: str) -> str:
