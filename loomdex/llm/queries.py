@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, packing, pii, quality, toxicity, urls
+from . import bpe, media, minhash, packing, pii, quality, suffix, toxicity, urls
 
 #: The tokenizer file, of the installed package of public vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,10 +45,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.digest(table(spark, sf_dir, "documents"), path or public_tokenizers.path(TOKENIZER))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("blocked"))
     return urls.judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_quality, op5_minhash, op6_pii, op7_media, op8_bpe, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_quality, op5_minhash, op6_pii, op7_media, op8_bpe, op9_suffix, op10_urls)}
 ORACLE_SQL: dict[str, str] = {}
