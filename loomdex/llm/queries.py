@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, packing, pii, quality, suffix, toxicity, urls
+from . import bpe, embedding, media, minhash, packing, pii, quality, suffix, toxicity, urls
 
 #: The tokenizer file, of the installed package of public vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))[0]
 
@@ -54,5 +58,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_quality, op5_minhash, op6_pii, op7_media, op8_bpe, op9_suffix, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_embedding, op4_quality, op5_minhash, op6_pii, op7_media, op8_bpe, op9_suffix, op10_urls)}
 ORACLE_SQL: dict[str, str] = {}
