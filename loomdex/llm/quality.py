@@ -29,7 +29,7 @@ GROUP = 1 << 20
 #: Texts at most that train the scorer, by the order of a hash of their id.
 SAMPLE = 12_000
 BITS = 14
-LABELLERS = ("length", "symbols", "capitals", "variety", "echo", "columns", "word_size", "sentences", "tails")
+LABELLERS = ("length", "symbols", "capitals", "variety", "echo", "columns", "word_size", "sentences", "tails", "shouts")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[33:127] = True
 _SYMBOL[[*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, ".,;:'-?\"()")]] = False
@@ -74,6 +74,7 @@ def measures(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], t
         "echo": echo / some,
         "columns": np.bincount(row[lone], minlength=n) / some,
         "word_size": np.bincount(row, size, n) / some,
+        "shouts": np.bincount(row[(size > 1) & _UPPER[raw[starts]] & _UPPER[raw[np.minimum(starts + 1, len(raw) - 1)]]], minlength=n) / some,
         "tails": np.bincount(row[_SYMBOL[tail] | (tail == ord("!"))], minlength=n) / some,
         "sentences": np.bincount(row[stop], minlength=n) / some,
     }, (row, token, head, tail)
@@ -95,6 +96,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
             vote((m["word_size"] < 2.2) | (m["word_size"] > 16), m["word_size"] > 99),
             vote(m["sentences"] == 0, (m["sentences"] > 0.02) & (m["sentences"] < 0.5)),
             vote(m["tails"] > 0.1, m["tails"] == 0),
+            vote(m["shouts"] > 0.3, m["shouts"] > 1),
         ],
         axis=1,
     )
@@ -138,7 +140,7 @@ def fit_weak(v: np.ndarray, n: np.ndarray, steps: int = 200, belief: float = 0.5
     """
     start = np.array([[0.45, 0.4, 0.15], [0.45, 0.004, 0.546]])
     model = Weak(0.8, np.repeat(start[None], v.shape[1], 0))
-    trust = belief * n.sum() * np.array([0.2, 0.8])[:, None] * start
+    trust = belief * n.sum() * np.array([0.02, 0.8])[:, None] * start
     if not len(v):
         return model
     before = -1.0

@@ -309,3 +309,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     out = rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), p.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), Model(vocab, polarity, w)
+
+
+def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """`docs` without the rows that score `threshold` or more; all columns stay, and no text is shuffled."""
+    model = score(docs, labels, id_col, text_col, label_col)[1]
+    at = docs.columns.index(text_col)
+    vocab, polarity, w = model.vocab, model.polarity, model.coefficients
+
+    def run(batches):
+        for batch in batches:
+            raw, ends = utf8(batch.column(at))
+            for i, j in groups(ends, GROUP):
+                f = features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], vocab, polarity)
+                p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
+                yield batch.slice(i, j - i).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
