@@ -20,7 +20,8 @@ FIBONACCI = _fibonacci_table()
 
 
 def clamp_int(x: Column) -> Column:
-    return F.least(F.greatest(x.cast("long"), F.lit(INT_MIN)), F.lit(INT_MAX)).cast("int")
+    """`x` within the range of an int; least and greatest alone would pass over a null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x.cast("long"), F.lit(INT_MIN)), F.lit(INT_MAX)).cast("int"))
 
 
 def hello() -> Column:
@@ -74,11 +75,11 @@ def saturating_backoff(attempts: Column) -> Column:
 def register(spark: SparkSession) -> None:
     """SQL functions of the same names, as native expressions rather than Python ones."""
     bodies = {
-        "add_numbers(a INT, b INT) RETURNS INT": "cast(least(greatest(cast(a as bigint) + b, -2147483648L), 2147483647L) as int)",
+        "add_numbers(a INT, b INT) RETURNS INT": "if(a + cast(b as bigint) is null, null, cast(least(greatest(cast(a as bigint) + b, -2147483648L), 2147483647L) as int))",
         "shout(t STRING) RETURNS STRING": "concat(upper(t), '!')",
         "greatest_of(a INT, b INT, c INT) RETURNS INT": "greatest(a, b, c)",
         "is_even(n INT) RETURNS BOOLEAN": "pmod(n, 2) = 0",
-        "double_or_none(n INT) RETURNS INT": "cast(least(greatest(cast(n as bigint) * 2, -2147483648L), 2147483647L) as int)",
+        "double_or_none(n INT) RETURNS INT": "if(n is null, null, cast(least(greatest(cast(n as bigint) * 2, -2147483648L), 2147483647L) as int))",
         "greeting(name STRING, age INT DEFAULT 20) RETURNS STRING": "format_string('Hello, %s! You are %d years old.', name, age)",
     }
     for head, body in bodies.items():

@@ -95,7 +95,7 @@ class Outbox:
         if revisions is not None and (len(revisions) != len(ids) or not all(map(REVISION.fullmatch, revisions))):
             raise InvalidArgument("a revision is 64 hexadecimal digits in lower case")
         data = self._load()
-        rows = [[i, v, (labels or [None] * len(ids))[k], (revisions or [None] * len(ids))[k]] for k, (i, v) in enumerate(zip(ids, vectors))]
+        rows = [[i, [float(x) for x in v], (labels or [None] * len(ids))[k], (revisions or [None] * len(ids))[k]] for k, (i, v) in enumerate(zip(ids, vectors))]
         for i, r in zip(ids, revisions or []):
             owner = data["state"].get(str(i))
             if owner and owner["uri"] != uri:
