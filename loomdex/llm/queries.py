@@ -60,3 +60,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_embedding, op4_quality, op5_minhash, op6_pii, op7_media, op8_bpe, op9_suffix, op10_urls)}
 ORACLE_SQL: dict[str, str] = {}
+
+_CHAIN = """reach AS (SELECT DISTINCT a AS node, b AS other FROM edge UNION SELECT reach.node, edge.b FROM reach JOIN edge ON edge.a = reach.other)"""
+
+ORACLE_SQL["op3_embedding"] = f"""WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  edge AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+  {_CHAIN}, low AS (SELECT node, min(other) AS m FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM edge GROUP BY a)
+  SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept
+  FROM embeddings LEFT JOIN low ON node = vec_id LEFT JOIN n ON a = vec_id"""
+
+ORACLE_SQL["op5_minhash"] = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+  edge AS (SELECT a, b FROM both_ JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+  {_CHAIN}, low AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
+  SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, least(doc_id, coalesce(m, doc_id)) = doc_id AS kept
+  FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low ON node = doc_id"""
