@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars, text
 from .operators import audit, bm25, filters, hybrid, quality, snippets, vector
+from .plans.index import StoredIndex
 from .sources import warc
 from .sources.store import Policy, VectorStore
 from .streaming import queue
@@ -274,7 +275,7 @@ def media_type_counts(spark, d):
     "scalar_helpers",
     """SELECT l_orderkey, l_linenumber, CAST(least(CAST(l_orderkey AS HUGEINT) * 100000 % 4294967296 + 1000000000, 2147483647) AS INTEGER) AS added,
   upper(l_returnflag) || '!' AS shouted, greatest(l_linenumber, 3, l_suppkey % 5) AS top, l_orderkey % 2 = 0 AS even,
-  len(list_filter(regexp_split_to_array(l_returnflag || chr(32) || l_linestatus, '\\s+'), lambda x: x <> '')) AS words FROM lineitem""",
+  len(list_filter(regexp_split_to_array(l_returnflag || chr(32) || l_linestatus, '\\s+'), lambda x: x <> ''))::INTEGER AS words FROM lineitem""",
 )
 def scalar_helpers(spark, d):
     rows = table(spark, d, "lineitem")
@@ -387,7 +388,7 @@ def store_count_versions(spark, d):
 # Audits and quality.
 
 
-@register("index_audit", f"WITH {WORDS}, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL) SELECT count(*) FILTER (term = 'the' AND doc_id % 4 = 0) AS missing, (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS extra, count(*) FILTER (term = 'of' AND doc_id % 3 = 0) AS wrong_tf, (SELECT count(*) FROM words WHERE doc_id % 10 = 0) AS wrong_length, 0 AS unverifiable FROM p")
+@register("index_audit", f"WITH {WORDS}, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL) SELECT count(*) FILTER (term = 'the' AND doc_id % 4 = 0) AS missing, (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS extra, count(*) FILTER (term = 'of' AND doc_id % 3 = 0) AS wrong_tf, (SELECT count(*) FROM words WHERE doc_id % 10 = 0) AS wrong_length, 0::BIGINT AS unverifiable FROM p")
 def index_audit(spark, d):
     docs = _docs(spark, d)
     good = bm25.postings(docs)
@@ -501,3 +502,13 @@ def warc_import(spark, d):
     make = F.udf(lambda u, h: record(u or "", h or ""), "string")
     table(spark, d, "pages").select(make("url", "html").alias("value")).write.option("lineSep", "\n").text(f"file://{out}")
     return warc.read(spark, f"file://{out}/*.txt").select("ordinal", "doc_id", "target_uri", "domain", "media_type", "http_status", "text_len", "status", "reason")
+
+
+@register("bm25_stored_index", ORACLE_SQL["bm25_search"])
+def bm25_stored_index(spark, d):
+    """The same search over a stored, term-clustered index."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    root = base.removeprefix("file://") if base and base.startswith(("file://", "/")) else tempfile.mkdtemp(prefix="loomdex-index-")
+    stored = StoredIndex(spark, f"{root}/index-{uuid.uuid4().hex}")
+    stored.build(_docs(spark, d))
+    return _ranked(stored.search(QUERY, 10))
