@@ -40,6 +40,25 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(_CJK), bigrams).otherwise(words)
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens of a text, counted without making them."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    ascii_words = count("[A-Za-z0-9]{2,}")
+    pairs, lone = count(f"(?<={_CJK}){_CJK}"), count(f"(?<!{_CJK}){_CJK}(?!{_CJK})")
+    return F.when(text.rlike(_CJK), ascii_words + pairs + lone).otherwise(ascii_words)
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a token occurs in a text: a whole ASCII word, a CJK pair, or a lone CJK character."""
+    if term.isascii():
+        pattern = f"(?i)(?<![a-z0-9]){term}(?![a-z0-9])"
+    elif len(term) == 1:
+        pattern = f"(?<!{_CJK}){term}(?!{_CJK})"
+    else:
+        pattern = f"{term[0]}(?={term[1]})"
+    return F.regexp_count(text, F.lit(pattern))
+
+
 def term_key(term: Column) -> Column:
     """The stored key of a term: itself, or a digest of a term over 2000 bytes."""
     return F.when(F.octet_length(term) > LONG_TERM_BYTES, F.concat(F.lit(LONG_TERM_PREFIX), F.sha2(term, 256))).otherwise(term)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, LimitExceeded
-from ..functions.text import MAX_TERM_BYTES, tokens
+from ..functions.text import MAX_TERM_BYTES, term_count, token_count, tokens
 
 K1, B = 1.2, 0.75
 MAX_K = 10_000
@@ -51,12 +51,8 @@ def search(docs: DataFrame, query: str, k: int = 10, eligible: DataFrame | None
     terms = query_terms(docs, query) if k else []
     if not terms:
         return spark.createDataFrame([], "doc_id long, score double")
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-
-    def frequency(term: str) -> Column:
-        return F.size(F.filter("w", lambda x: x == term))
-
-    rows = words.select("doc_id", F.size("w").alias("len"), *(frequency(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = texts.select("doc_id", token_count(F.col("t")).alias("len"), *(term_count(F.col("t"), t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))))
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
@@ -75,7 +71,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0)).alias("doc_len"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(token_count(F.col(text_col)), F.lit(0)).alias("doc_len"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

@@ -18,10 +18,14 @@ def test_tokens(spark):
         "ABC abc_123 é中日語 カタカナ 한글 𠀀": ["abc", "abc", "123", "中日", "日語", "カタ", "タカ", "カナ", "한글"],
         "K1 kelvin\u212a": ["k1", "kelvin"],
         "": [],
+        "하하하 The the THE them 日 日日日日": ["하하", "하하", "the", "the", "the", "them", "日", "日日", "日日", "日日"],
     }
     for t, want in cases.items():
         assert one(spark, text.tokens(F.col("t")), t=t) == want
         assert [x for x, _, _ in snippets.spans(t)] == want
+        assert one(spark, text.token_count(F.col("t")), t=t) == len(want)
+        for term in {*want, "zz", "가나", "가"}:
+            assert one(spark, text.term_count(F.col("t"), term), t=t) == want.count(term), (t, term)
     assert one(spark, text.tokens(F.lit(None).cast("string"))) is None
     assert one(spark, text.term_key(F.col("t")), t="x" * 2001).startswith(text.LONG_TERM_PREFIX)
 
