@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import scalars, text
 from .operators import audit, bm25, filters, hybrid, quality, snippets, vector
 from .plans.index import StoredIndex
+from .plans.layout import spread
 from .sources import warc
 from .sources.store import Policy, VectorStore
 from .streaming import queue
@@ -92,7 +93,7 @@ def near_sql(k: int, where: str = "true") -> str:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _vector_of(spark, d) -> DataFrame:
