@@ -52,7 +52,7 @@ def measures(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], t
     count = np.bincount(row, minlength=n)
     low = words.lowered(raw)
     head, tail = words.packed(low, starts, size, 6), low[np.maximum(starts + size - 1, 0)] if len(starts) else np.zeros(0, np.uint8)
-    token = _mix(head * 1009 + size * 257 + tail)
+    token = words.hashed(low, starts, size)
     order = np.lexsort((token, row))
     r, t = row[order], token[order]
     new = np.ones(len(r), bool)
@@ -77,7 +77,7 @@ def measures(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], t
         "shouts": np.bincount(row[(size > 1) & _UPPER[raw[starts]] & _UPPER[raw[np.minimum(starts + 1, len(raw) - 1)]]], minlength=n) / some,
         "tails": np.bincount(row[_SYMBOL[tail] | (tail == ord("!"))], minlength=n) / some,
         "sentences": np.bincount(row[stop], minlength=n) / some,
-    }, (row, token, head, tail)
+    }, (row, token, np.where(size > 6, head, -1), tail)
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
@@ -158,12 +158,13 @@ def fit_weak(v: np.ndarray, n: np.ndarray, steps: int = 200, belief: float = 0.5
 def hashed(m: dict[str, np.ndarray], tokens: tuple, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features of the rows: row, slot, value.
 
-    Shares of word heads and word tails, and the binned measures.
+    Shares of whole words, heads of longer words and word tails, and the binned measures.
     """
-    row, _, head, tail = tokens
+    row, token, head, tail = tokens
+    long = np.flatnonzero(head >= 0)
     some = np.maximum(np.bincount(row, minlength=n), 1)
-    slots = [(_mix(head + 11) >> np.uint64(64 - BITS)).astype(np.int64), (_mix(tail.astype(np.int64) + (1 << 50)) >> np.uint64(64 - BITS)).astype(np.int64)]
-    rows, values = [row, row], [1 / np.sqrt(some)[row], 2 / some[row]]
+    slots = [(_mix(token) >> np.uint64(64 - BITS)).astype(np.int64), (_mix(head[long] + 11) >> np.uint64(64 - BITS)).astype(np.int64), (_mix(tail.astype(np.int64) + (1 << 50)) >> np.uint64(64 - BITS)).astype(np.int64)]
+    rows, values = [row, row[long], row], [1 / np.sqrt(some)[row], 1 / np.sqrt(some)[row[long]], 2 / some[row]]
     for k, name in enumerate(LABELLERS):
         x = np.log2(1 + m[name]) if name in ("length", "word_size") else np.sqrt(np.minimum(m[name], 4)) * 10
         slots.append((_mix(np.floor(x).astype(np.int64) + ((k + 2) << 50)) >> np.uint64(64 - BITS)).astype(np.int64))

@@ -1,7 +1,9 @@
 """Toxicity by an induced lexicon.
 
-Nodes are word heads: a word's first six bytes, and its first four if it is longer
-than that, in lower case, so inflected forms share a node.  Document
+Nodes are whole words in lower case, by a 64-bit hash of all their bytes.  A run of
+CJK characters has no blanks and counts as its overlapping pairs of characters.  A
+word that is no node may share its first six or four bytes with nodes; the mean
+polarity of these is an extra feature and never stands in for a word's own.  Document
 frequencies of all nodes come from the whole corpus, those by label from a bounded
 sample of labelled training rows.  The nodes that lean most to either label span a
 graph whose edges are positive pointwise mutual information of co-occurrence
@@ -39,7 +41,7 @@ LEAST_SEEDS = 8
 WINDOW = 16
 RESTART = 0.25
 GROUP = 1 << 20
-FEATURES = 6
+FEATURES = 8
 
 
 def held_out(id_col: str):
@@ -55,21 +57,45 @@ def sample(labels: DataFrame, id_col: str, label_col: str, size: int = SAMPLE) -
     return got["i"].to_numpy(np.int64)[order], got["y"].to_numpy(np.int8)[order]
 
 
-def nodes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word number and node of each word head; heads of four carry a high bit."""
+def nodes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row and node of each word in order, and where the words are: lower-case bytes, starts, lengths."""
     starts, size, row = words.spans(raw, offsets, words.LETTERS)
+    lead = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
+    if len(lead):
+        starts, size, row = _pairs(raw, offsets, lead)
     low = words.lowered(raw)
-    six = words.packed(low, starts, size, 6)
-    long = np.flatnonzero(size > 4)
-    four = words.packed(low, starts[long], size[long], 4) | (1 << 48)
-    number = np.arange(len(starts))
-    return np.concatenate([row, row[long]]), np.concatenate([number, number[long]]), np.concatenate([six, four])
+    return row, words.hashed(low, starts, size), (low, starts, size)
 
 
-def node_text(node: int) -> str:
-    stem = bool(node >> 48)
-    body = (node & ((1 << 48) - 1)).to_bytes(6, "big").strip(b"\0").decode("utf-8", "replace")
-    return body + "*" if stem else body
+def _pairs(raw: np.ndarray, offsets: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as by `words.spans`, but CJK characters, which begin at `lead`, as overlapping pairs or alone."""
+    rest = raw.copy()
+    for k in range(3):
+        rest[np.minimum(lead + k, len(raw) - 1)] = 32
+    starts, size, row = words.spans(rest, offsets, words.LETTERS)
+    owner = np.searchsorted(offsets, lead, side="right") - 1
+    joined = (np.diff(lead) == 3) & (np.diff(owner) == 0)
+    before, after = np.append(False, joined), np.append(joined, False)
+    alone = ~before & ~after
+    wide = np.where(after, 6, np.minimum(3, len(raw) - lead))
+    use = after | alone
+    starts, size, row = (np.concatenate([x, y[use]]) for x, y in ((starts, lead), (size, wide), (row, owner)))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], size[order], row[order]
+
+
+def heads(low: np.ndarray, starts: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes of each word that is longer than four bytes, else -1."""
+    return np.where(size > 4, words.packed(low, starts, size, n), -1)
+
+
+def stems(text: list[bytes], polarity: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heads of n bytes of the nodes, ascending, and the mean polarity of the nodes under each."""
+    size = np.array([len(t) for t in text], np.int64)
+    head = heads(np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size, n)
+    uniq, back = np.unique(head, return_inverse=True)
+    mean = np.bincount(back, polarity, len(uniq)) / np.maximum(np.bincount(back, minlength=len(uniq)), 1)
+    return uniq[uniq >= 0], mean[uniq >= 0]
 
 
 def _rows(batches):
@@ -81,31 +107,32 @@ def _rows(batches):
 
 
 def frequencies(src: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
-    """(node, df, toxic, clean): documents that hold the node, of all and by label."""
+    """(node, word, df, toxic, clean): documents that hold the node, of all and by label."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         size = 0
 
         def merged():
-            keys = np.concatenate([k for k, _ in held])
-            counts = np.concatenate([c for _, c in held])
-            uniq, back = np.unique(keys, return_inverse=True)
-            return uniq, np.stack([np.bincount(back, counts[:, k], len(uniq)).astype(np.int64) for k in range(3)], axis=1)
+            keys = np.concatenate([k for k, _, _ in held])
+            counts = np.concatenate([c for _, c, _ in held])
+            uniq, at, back = np.unique(keys, return_index=True, return_inverse=True)
+            text = pa.concat_arrays([t for _, _, t in held]).take(pa.array(at))
+            return uniq, np.stack([np.bincount(back, counts[:, k], len(uniq)).astype(np.int64) for k in range(3)], axis=1), text
 
         for key, raw, off in _rows(batches):
-            row, _, node = nodes(raw, off)
+            row, node, (low, starts, size_) = nodes(raw, off)
             if not len(row):
                 continue
             order = np.lexsort((row, node))
-            row, node = row[order], node[order]
+            row, node, starts, size_ = row[order], node[order], starts[order], size_[order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (node[1:] != node[:-1])
-            row, node = row[new], node[new]
+            row, node, starts, size_ = row[new], node[new], starts[new], size_[new]
             label = _labels_of(key, ids, y)[row]
             uniq, at = np.unique(node, return_index=True)
             counts = np.stack([np.add.reduceat(v.astype(np.int64), at) for v in (np.ones(len(row), np.int64), label == 1, label == 0)], axis=1)
-            held.append((uniq, counts))
+            held.append((uniq, counts, words.strings(low, starts[at], size_[at])))
             size += len(uniq)
             if size > 1 << 21:
                 held = [merged()]
@@ -116,12 +143,12 @@ def frequencies(src: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
         if held:
             yield _counted(*merged())
 
-    out = src.mapInArrow(run, "node long, df long, toxic long, clean long")
-    return out.groupBy("node").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    out = src.mapInArrow(run, "node long, word binary, df long, toxic long, clean long")
+    return out.groupBy("node").agg(F.min("word").alias("word"), F.sum("df").alias("df"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(keys), *(pa.array(counts[:, k].copy()) for k in range(3))], ["node", "df", "toxic", "clean"])
+def _counted(keys: np.ndarray, counts: np.ndarray, text: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(keys), text.cast(pa.binary()), *(pa.array(counts[:, k].copy()) for k in range(3))], ["node", "word", "df", "toxic", "clean"])
 
 
 def _labels_of(key: pa.Array, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -133,8 +160,8 @@ def _labels_of(key: pa.Array, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(ids[k] == at, y[k], -1)
 
 
-def vocabulary(freq: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Nodes of the graph in ascending order, their lean to toxic, and how many were tested.
+def vocabulary(freq: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, list[bytes], np.ndarray, int]:
+    """Nodes of the graph in ascending order, their words, their lean to toxic, and how many were tested.
 
     The lean is the signed root of the log-likelihood ratio, about a z score.
     Of the nodes in at least three labelled documents, those that lean most to
@@ -150,8 +177,8 @@ def vocabulary(freq: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray,
     z = F.signum(a * n_clean - b * n_toxic) * F.sqrt(2 * F.greatest(both, F.lit(0.0)))
     scored = freq.filter("toxic + clean >= 3").withColumn("z", z)
     top = scored.filter("z > 0").orderBy(F.desc("z"), "node").limit(TOXIC_NODES).unionByName(scored.filter("z <= 0").orderBy("z", "node").limit(CLEAN_NODES))
-    got = top.select("node", "z").toPandas().sort_values("node")
-    return got["node"].to_numpy(np.int64), got["z"].to_numpy(float), freq.filter("toxic + clean >= 3").count()
+    got = top.select("node", "word", "z").toPandas().sort_values("node")
+    return got["node"].to_numpy(np.int64), [bytes(w) for w in got["word"]], got["z"].to_numpy(float), freq.filter("toxic + clean >= 3").count()
 
 
 def cooccurrences(src: DataFrame, vocab: np.ndarray, window: int = WINDOW) -> DataFrame:
@@ -161,18 +188,15 @@ def cooccurrences(src: DataFrame, vocab: np.ndarray, window: int = WINDOW) -> Da
     def run(batches):
         counts = np.zeros(size * size, np.int64)
         for _, raw, off in _rows(batches):
-            row, word, node = nodes(raw, off)
+            row, node, _ = nodes(raw, off)
             at = np.minimum(np.searchsorted(vocab, node), size - 1)
-            known = vocab[at] == node
-            row, word, at = row[known], word[known], at[known]
-            order = np.argsort(word, kind="stable")
-            row, word, at = row[order], word[order], at[order]
-            for s in range(1, 2 * window + 2):
+            word = np.flatnonzero(vocab[at] == node)
+            row, at = row[word], at[word]
+            for s in range(1, window + 1):
                 gap = word[s:] - word[:-s]
                 near = (gap <= window) & (row[s:] == row[:-s])
                 if not near.any():
                     break
-                near &= gap > 0
                 a, b = at[:-s][near], at[s:][near]
                 pair = np.minimum(a, b) * size + np.maximum(a, b)
                 if len(pair) > size * size // 8:
@@ -214,32 +238,27 @@ def walk(m: np.ndarray, seeds: np.ndarray, restart: float = RESTART, steps: int
 @dataclass
 class Model:
     vocab: np.ndarray
+    words: list[bytes]
     polarity: np.ndarray
     coefficients: np.ndarray
 
     def lexicon(self) -> list[tuple[str, float]]:
-        """Node texts and polarities, most toxic first."""
+        """Words and polarities, most toxic first."""
         order = np.argsort(-self.polarity, kind="stable")
-        return [(node_text(int(self.vocab[k])), float(self.polarity[k])) for k in order]
+        return [(self.words[k].decode("utf-8", "replace"), float(self.polarity[k])) for k in order]
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, vocab: np.ndarray, polarity: np.ndarray) -> np.ndarray:
-    """(rows, FEATURES): what a row's polarities amount to."""
+def features(raw: np.ndarray, offsets: np.ndarray, vocab: np.ndarray, polarity: np.ndarray, six: tuple, four: tuple) -> np.ndarray:
+    """(rows, FEATURES): what a row's polarities amount to; the last two are those of words that are known by their stem only."""
     n = len(offsets) - 1
     out = np.zeros((n, FEATURES))
-    row, word, node = nodes(raw, offsets)
+    row, node, (low, starts, size) = nodes(raw, offsets)
     if not len(vocab) or not len(row):
         return out
     at = np.minimum(np.searchsorted(vocab, node), len(vocab) - 1)
     known = vocab[at] == node
-    value = polarity[at[known]]
-    row_k, word_k = row[known], word[known]
-    best = np.full(int(word.max()) + 1, -2.0)
-    np.maximum.at(best, word_k, value)  # a word counts by its most toxic node
-    owner = np.zeros(len(best), np.int64)
-    owner[word] = row
-    value, row_k = best[best > -2], owner[best > -2]
-    total = np.bincount(owner, minlength=n)
+    value, row_k = polarity[at[known]], row[known]
+    total = np.bincount(row, minlength=n)
     high = np.bincount(row_k, value > 0.5, n)
     out[:, 0] = np.log1p(high)
     np.maximum.at(out[:, 1], row_k, np.maximum(value, 0))
@@ -247,6 +266,15 @@ def features(raw: np.ndarray, offsets: np.ndarray, vocab: np.ndarray, polarity:
     out[:, 3] = 10 * np.sqrt(high / np.maximum(total, 1))
     out[:, 4] = np.bincount(row_k, value, n) / np.maximum(np.bincount(row_k, minlength=n), 1)
     out[:, 5] = high > 0
+    row, starts, size = row[~known], starts[~known], size[~known]
+    value = np.zeros(len(row))
+    for width, (head, mean) in ((4, four), (6, six)):
+        if len(head):
+            own = heads(low, starts, size, width)
+            at = np.minimum(np.searchsorted(head, own), len(head) - 1)
+            value = np.where(head[at] == own, mean[at], value)
+    out[:, 6] = np.log1p(np.bincount(row, np.maximum(value, 0), n))
+    out[:, 7] = np.log1p(np.bincount(row, np.maximum(-value, 0), n))
     return out
 
 
@@ -272,10 +300,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     ids, y = sample(labels, label_id, label_col)
     n_toxic, n_clean = int((y == 1).sum()), int((y == 0).sum())
-    vocab, polarity = np.zeros(0, np.int64), np.zeros(0)
+    vocab, text, polarity = np.zeros(0, np.int64), [], np.zeros(0)
     if n_toxic and n_clean:
         freq = cut(frequencies(src, ids, y))
-        vocab, lean, tested = vocabulary(freq, n_toxic, n_clean)
+        vocab, text, lean, tested = vocabulary(freq, n_toxic, n_clean)
         drop(freq)
     if len(vocab):
         edges = cooccurrences(src, vocab).toPandas()  # at most the square of the vocabulary
@@ -288,9 +316,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         a, b = walk(m, toxic), walk(m, clean)
         polarity = (a - b) / (a + b + 1 / len(vocab))
 
+    six, four = stems(text, polarity, 6), stems(text, polarity, 4)
+
     def run(batches):
         for key, raw, off in _rows(batches):
-            f = features(raw, off, vocab, polarity)
+            f = features(raw, off, vocab, polarity, six, four)
             yield pa.record_batch([key, pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), FEATURES).cast(pa.list_(pa.float64()))], ["id", "f"])
 
     rows = cut(src.mapInArrow(run, "id long, f array<double>"))
@@ -308,7 +338,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         z = z + F.col("f")[k] * float(w[k])
     p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     out = rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), p.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), Model(vocab, polarity, w)
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), Model(vocab, text, polarity, w)
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -316,12 +346,13 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = score(docs, labels, id_col, text_col, label_col)[1]
     at = docs.columns.index(text_col)
     vocab, polarity, w = model.vocab, model.polarity, model.coefficients
+    six, four = stems(model.words, polarity, 6), stems(model.words, polarity, 4)
 
     def run(batches):
         for batch in batches:
             raw, ends = utf8(batch.column(at))
             for i, j in groups(ends, GROUP):
-                f = features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], vocab, polarity)
+                f = features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], vocab, polarity, six, four)
                 p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
                 yield batch.slice(i, j - i).filter(pa.array(p < threshold))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of a word: ASCII letters and digits, and every byte of a longer code point.
 LETTERS = np.zeros(256, bool)
@@ -43,6 +44,34 @@ def spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, np.flatnonzero(last) + 1 - starts, np.searchsorted(offsets, starts, side="right") - 1
 
 
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_CODE = np.array([(k * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (1 << 64) for k in range(1, 257)], np.uint64)
+_CODE = (_CODE ^ (_CODE >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+_CODE = (_CODE ^ (_CODE >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def hashed(low: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each whole run, whatever its length: differences of running sums of a polynomial."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    power = np.full(len(low), _BASE, np.uint64)
+    power[0] = 1
+    sums = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum(_CODE[low] * np.cumprod(power), out=sums[1:])
+    power[1:] = _UNBASE
+    h = (sums[starts + size] - sums[starts]) * np.cumprod(power)[starts] + size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (h ^ (h >> np.uint64(33))).view(np.int64)
+
+
+def strings(low: np.ndarray, starts: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The runs as a binary Arrow column."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], size)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(low[at])])
+
+
 def packed(low: np.ndarray, starts: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
     """The first n <= 6 bytes of each run as one integer; shorter runs end in zeros."""
     padded = np.concatenate([low, np.zeros(n, np.uint8)])

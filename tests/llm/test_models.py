@@ -90,3 +90,30 @@ def test_weak_model_recovers_accuracies():
     code, n = np.unique(quality.encode_votes(votes), return_counts=True)
     model = quality.fit_weak(quality.decode_votes(code, 5), n.astype(float), belief=0.0)
     assert np.abs(model.accuracies() - true).max() < 0.03 and abs(model.prior - 0.8) < 0.03
+
+
+def test_toxicity_tells_words_with_one_head_apart(spark, docs_of):
+    rnd = random.Random(5)
+    rows, truth = [], {}
+    for k in range(600):
+        text = ["".join(rnd.choice("abcdefghi") for _ in range(rnd.randrange(2, 8))) for _ in range(40)]
+        truth[k] = int(k % 6 == 0)
+        for _ in range(4):
+            text.insert(rnd.randrange(len(text)), "interwretched" if truth[k] else "interwoven")
+        rows.append((k, " ".join(text)))
+    out, model = toxicity.score(docs_of(rows), spark.createDataFrame([(k, 1, y, "x") for k, y in truth.items()], LABELS))
+    assert np.mean([r.predicted == truth[r.doc_id] for r in out.collect()]) > 0.97
+    polarity = dict(model.lexicon())
+    assert polarity["interwretched"] > 0.5 > 0 > polarity["interwoven"]
+
+
+def test_words_are_hashed_whole():
+    raw, off = np.frombuffer("Interwoven interwretched interwoven 中文句 中文 é".encode(), np.uint8), np.array([0, 52])
+    off[1] = len(raw)
+    row, node, (low, starts, size) = toxicity.nodes(raw, off)
+    text = [bytes(low[s : s + n]).decode() for s, n in zip(starts, size)]
+    assert text == ["interwoven", "interwretched", "interwoven", "中文", "文句", "中文", "é"]
+    assert [node[k] == node[j] for k, j in ((0, 2), (3, 5), (0, 1), (3, 4))] == [True, True, False, False]
+    raw = np.frombuffer(b"abcdefghij abcdefgxij", np.uint8)
+    _, (_, token, head, _) = quality.measures(raw, np.array([0, len(raw)]))
+    assert token[0] != token[1] and head[0] == head[1]
