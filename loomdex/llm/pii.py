@@ -28,6 +28,16 @@ from .tables import free_name
 _LOCAL = "A-Za-z0-9._%+-"
 
 
+#: Characters of an account number by country, from the register.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_OTHERS = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -43,7 +53,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]", r"\bip\b|addr|host|server|log", 0.6),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", r"card|visa|master|pay|credit", 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", r"phone|call|tel|mobile|fax", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[0-9]", r"iban|account|bank|konto|compte", 0.7, False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?>{_BY_COUNTRY}|(?!{_OTHERS})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])", "[0-9]", r"iban|account|bank|konto|compte", 0.7, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]", r"ssn|social|security", 0.4, False),
 )
 #: The plain forms of the base kinds.

@@ -192,3 +192,17 @@ def test_mined_rules_match_as_brute_force(spark):
                     best[items] = max(best.get(items, 0), sum(cover) / len(cover))
     assert found.keys() == best.keys() and all(abs(found[k] - best[k]) < 1e-12 for k in best)
     assert rules.filter(F.size("antecedent") == 0).isEmpty()
+
+
+def test_pii_iban_before_capitals_and_numbers(spark, docs_of):
+    iban = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    tails = [" Please pay", " The rest", " BIC COBADEFF", " 2024", " x", "", ".", " GB82WEST12345698765432"]
+    rows = [(k, f"IBAN {i}{t}") for k, (i, t) in enumerate((i, t) for i in iban for t in tails)]
+    rows += [(900, "DE89370400440532013000X"), (901, "DE88370400440532013000 Please"), (902, "A" * 20000 + " " + "DE89 " * 4000)]
+    got = {r.doc_id: r.spans for r in pii.digest(docs_of(rows)).collect()}
+    for k, (i, t) in enumerate((i, t) for i in iban for t in tails):
+        assert f"iban:5:{5 + len(i)}" in got[k].split(","), (i, t, got[k])
+        assert got[k].count("iban:") == 1 + ("WEST12" in t)
+    assert not any("iban:" in got[k] for k in (900, 901, 902))
+    clear = {r.doc_id: r.text for r in pii.redact(docs_of(rows)).collect()}
+    assert clear[0] == "IBAN <IBAN> Please pay" and clear[15] == clear[7] == "IBAN <IBAN> <IBAN>"
