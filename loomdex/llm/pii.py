@@ -2,8 +2,9 @@
 
 Per kind, one regular expression proposes spans; a validator (octets of an
 address, Luhn for cards, digit counts for phones, mod-97 for bank accounts, number
-ranges for social security numbers) confirms them; words before a span adjust its
-score.  Spans of the four base kinds that pass their validator always stay; the
+ranges for social security numbers) confirms them; words within 40
+characters before or after a span adjust its score, and in a list, whose spans of
+the kind stand at most 40 characters apart, they count for all of its spans.  Spans of the four base kinds that pass their validator always stay; the
 added kinds need a score of `least`.
 
 Offsets come from splitting the text by the same expression: the pieces and the
@@ -104,16 +105,42 @@ def _cut(df: DataFrame, text: str, kind: Kind, m: str, p: str) -> DataFrame:
     return df.withColumn(p, F.when(F.size(m) > 0, F.split(text, kind.pattern, -1)).otherwise(none))
 
 
+def _near(kind: Kind, m: str, p: str) -> Column:
+    """Per match, whether a context word is near it or near the list that it belongs to."""
+
+    def hit(piece: Column) -> Column:
+        return F.lower(piece).rlike(kind.context)
+
+    def carried(pieces: Column, side) -> Column:
+        look = F.transform(pieces, lambda g: F.struct(hit(side(g, F.lit(REACH))).alias("hit"), (F.length(g) <= REACH).alias("short")))
+        zero = F.struct(F.lit(False).alias("on"), F.array().cast("array<boolean>").alias("out"))
+
+        def step(acc: Column, z: Column) -> Column:
+            on = z["hit"] | (z["short"] & acc["on"])
+            return F.struct(on.alias("on"), F.concat(acc["out"], F.array(on)).alias("out"))
+
+        return F.aggregate(look, zero, step, lambda acc: acc["out"])
+
+    before = carried(F.slice(p, 1, F.size(m)), F.right)
+    after = F.reverse(carried(F.reverse(F.slice(p, 2, F.size(m))), F.left))
+    return F.zip_with(before, after, lambda a, b: a | b)
+
+
+def _matches(kind: Kind, m: str, p: str) -> Column:
+    """Array of (x, near): each match, and whether its context speaks for it."""
+    return F.zip_with(m, _near(kind, m, p), lambda x, near: F.struct(x.alias("x"), near.alias("near")))
+
+
 def _spans(kind: Kind, k: int, m: str, p: str) -> Column:
     """Array of (s, k, e, score) of the valid matches."""
     look = F.zip_with(
-        m,
+        _matches(kind, m, p),
         F.slice(p, 1, F.size(m)),
-        lambda x, gap: F.struct(
+        lambda z, gap: F.struct(
             F.length(gap).alias("gap"),
-            F.length(x).alias("len"),
-            valid(kind.name, x).alias("ok"),
-            (F.lit(kind.score) + F.when(F.lower(F.right(gap, F.lit(REACH))).rlike(kind.context), 0.2).otherwise(0.0)).alias("score"),
+            F.length(z["x"]).alias("len"),
+            valid(kind.name, z["x"]).alias("ok"),
+            (F.lit(kind.score) + F.when(z["near"], 0.2).otherwise(0.0)).alias("score"),
         ),
     )
     empty = F.array().cast("array<struct<s:int,k:int,e:int,score:double>>")
@@ -161,10 +188,11 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _put(kind: Kind):
     """What takes the place of a piece and the match after it."""
 
-    def put(x: Column, gap: Column) -> Column:
+    def put(z: Column, gap: Column) -> Column:
+        x = z["x"] if kind.score < LEAST else z
         keep = valid(kind.name, x)
         if kind.score < LEAST:
-            keep &= F.lower(F.right(gap, F.lit(REACH))).rlike(kind.context)
+            keep &= z["near"]
         return F.concat(gap, F.when(keep, f"<{kind.name.upper()}>").otherwise(x))
 
     return put
@@ -181,7 +209,8 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
     for kind in KINDS:
         df = _cut(df, text_col, kind, m, p)
 
-        rebuilt = F.concat(F.array_join(F.zip_with(m, F.slice(p, 1, F.size(m)), _put(kind)), ""), F.get(p, F.size(m)))
+        found = _matches(kind, m, p) if kind.score < LEAST else F.col(m)
+        rebuilt = F.concat(F.array_join(F.zip_with(found, F.slice(p, 1, F.size(m)), _put(kind)), ""), F.get(p, F.size(m)))
         df = df.withColumn(text_col, F.when(F.size(m) > 0, rebuilt).otherwise(F.col(text_col))).drop(m, p)
     if length_col:
         df = df.withColumn(length_col, F.length(text_col).cast("long"))

@@ -206,3 +206,19 @@ def test_pii_iban_before_capitals_and_numbers(spark, docs_of):
     assert not any("iban:" in got[k] for k in (900, 901, 902))
     clear = {r.doc_id: r.text for r in pii.redact(docs_of(rows)).collect()}
     assert clear[0] == "IBAN <IBAN> Please pay" and clear[15] == clear[7] == "IBAN <IBAN> <IBAN>"
+
+
+def test_pii_context_on_both_sides_and_along_lists(spark, docs_of):
+    numbers = [f"{200 + k}-45-{6000 + k}" for k in range(9)]
+    rows = [
+        (1, "SSNs: " + ", ".join(numbers)),
+        (2, f"{numbers[0]} is my social security number"),
+        (3, ", ".join(numbers) + " are social security numbers"),
+        (4, f"ssn {numbers[0]} and far from it, " + "w " * 40 + numbers[1] + " part"),
+        (5, f"part {numbers[0]}, {numbers[1]}"),
+    ]
+    got = {r.doc_id: r.spans.count("ssn:") for r in pii.digest(docs_of(rows)).collect()}
+    assert got == {1: 9, 2: 1, 3: 9, 4: 1, 5: 0}
+    clear = {r.doc_id: r.text for r in pii.redact(docs_of(rows)).collect()}
+    assert clear[1] == "SSNs: " + ", ".join(["<SSN>"] * 9) and clear[2] == "<SSN> is my social security number"
+    assert {k: t.count("<SSN>") for k, t in clear.items()} == got
