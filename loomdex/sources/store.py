@@ -106,7 +106,7 @@ class VectorStore:
         base = self.policy.resolve(uri)
         return self.spark.read.schema(COLUMNS).parquet(*(str(base / d) for d in entry["dirs"]))
 
-    def _checked(self, rows: DataFrame, dim: int, unique: bool) -> DataFrame:
+    def _checked(self, rows: DataFrame, dim: int, unique: bool, most: int | None = MAX_BATCH) -> DataFrame:
         """Rows in the stored layout; wrong ones raise before anything is written."""
         for name in ("label", "revision"):
             if name not in rows.columns:
@@ -119,8 +119,8 @@ class VectorStore:
         if found.bad:
             raise InvalidArgument(f"{found.bad} vectors are not {dim} finite numbers")
         if unique:
-            if found.n > MAX_BATCH:
-                raise LimitExceeded(f"a batch has {MAX_BATCH} rows at most")
+            if most is not None and found.n > most:
+                raise LimitExceeded(f"a batch has {most} rows at most")
             if not rows.groupBy("id").count().filter("count > 1").isEmpty():
                 raise InvalidArgument("ids repeat within the batch")
         return rows
@@ -148,11 +148,11 @@ class VectorStore:
         rows = one.select("flat", "labels", F.posexplode("ids").alias("i", "id")).select("id", F.slice("flat", F.col("i") * dim + 1, F.lit(dim)).alias("vector"), F.get("labels", F.col("i")).alias("label"))
         return self.append(uri, rows)
 
-    def upsert(self, uri: str, rows: DataFrame) -> int:
-        """Replace or add rows by id in one new version, which is returned."""
+    def upsert(self, uri: str, rows: DataFrame, most: int | None = MAX_BATCH) -> int:
+        """Replace or add rows by id in one new version, which is returned; more than `most` rows raise, None is no limit."""
         with self.lock(uri) as path:
             m = self._manifest(uri)
-            rows = self._checked(rows, m["dim"], True)
+            rows = self._checked(rows, m["dim"], True, most)
             old = self.read(uri)
             if not old.groupBy("id").count().filter("count > 1").isEmpty():
                 raise StateConflict("the data set holds repeated ids")

@@ -170,12 +170,12 @@ CHANGE = "seq long, op string, id long, vector array<float>, label string, revis
 
 
 def apply_changes(store: VectorStore, uri: str, batch: DataFrame) -> None:
-    """Apply the last change of each id of a batch (seq, op, id, vector, label, revision)."""
+    """Apply the last change of each id of a batch of any size (seq, op, id, vector, label, revision)."""
     last = latest(batch, ["id"], "seq").persist()
     puts = last.filter("op = 'upsert'").select("id", "vector", "label", "revision")
     gone = last.filter("op = 'delete'").select("id")
     if not puts.isEmpty():
-        store.upsert(uri, puts)
+        store.upsert(uri, puts, most=None)
     if not gone.isEmpty():
         store.delete(uri, gone)
     last.unpersist()

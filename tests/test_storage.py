@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.errors import InvalidArgument, NotPermitted, NullArgument, StateConflict
+from loomdex.errors import InvalidArgument, LimitExceeded, NotPermitted, NullArgument, StateConflict
 from loomdex.operators import audit
 from loomdex.plans.collections import Manifest, pending_records
 from loomdex.sources import warc
@@ -174,3 +174,12 @@ def test_fingerprint_ignores_order(spark):
     assert audit.fingerprint(a, ["i", "t"]).first() == audit.fingerprint(b, ["i", "t"]).first()
     assert audit.fingerprint(a, ["i"]).first() != audit.fingerprint(a, ["i", "t"]).first()
     assert hashlib.sha256(b"").hexdigest() != audit.fingerprint(a.limit(0), ["i"]).first().digest
+
+
+def test_stream_drains_batches_over_the_interactive_limit(spark, store):
+    s, uri, _ = store
+    many = spark.range(10_001).selectExpr("id seq", "'upsert' op", "id", "array(float(id), float(0)) vector", "'x' label", "string(null) revision")
+    with pytest.raises(LimitExceeded):
+        s.upsert(uri, many.select("id", "vector", "label"))
+    queue.apply_changes(s, uri, many)
+    assert s.read(uri).select("id").distinct().count() == s.read(uri).count() == 10_001
