@@ -222,3 +222,26 @@ def test_pii_context_on_both_sides_and_along_lists(spark, docs_of):
     clear = {r.doc_id: r.text for r in pii.redact(docs_of(rows)).collect()}
     assert clear[1] == "SSNs: " + ", ".join(["<SSN>"] * 9) and clear[2] == "<SSN> is my social security number"
     assert {k: t.count("<SSN>") for k, t in clear.items()} == got
+
+
+def test_url_rules_need_more_than_luck(spark):
+    rnd = random.Random(11)
+    urls_of = lambda n: [f"http://{rnd.choice(['www', 'm', 'blog'])}.{rnd.choice('abcdefgh')}site.org/{rnd.choice(['en', 'fr', 'de'])}/{rnd.randrange(9999)}?page={rnd.randrange(3)}" for _ in range(n)]
+    rows = list(enumerate(urls_of(900)))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    luck = spark.createDataFrame([(i, rnd.random() < 0.15) for i, _ in rows], "doc_id long, blocked boolean")
+    assert urls.judge(pages, luck).filter("mined is not null").count() == 0
+    planted = [(i, u.replace("/en/", "/en/a/casino-bonus/b/") if i % 9 == 0 else u + "&ref=x&sid=7" if i % 9 == 1 else u) for i, u in rows]
+    bad = lambda u: "casino" in u or "sid=" in u
+    pages = spark.createDataFrame([*planted, (5000, "http://h/" + "x/" * 20000), (5001, "http://" + "a." * 5000 + "org/?" + "&" * 50)], "page_id long, url string")
+    got = urls.judge(pages, spark.createDataFrame([(i, bad(u)) for i, u in planted], "doc_id long, blocked boolean")).collect()
+    test = [(r.mined is not None, bad(dict(planted)[r.page_id])) for r in got if r.held_out and r.page_id < 5000]
+    assert len(test) > 100 and all(a == b for a, b in test)
+    assert [r.verdict for r in got if r.page_id >= 5000] == ["allow", "allow"]
+
+
+def test_url_rules_beyond_a_broadcast(spark, monkeypatch):
+    bags = spark.createDataFrame([([f"a={k % 3}", f"b={k % 5}"], k % 3 == 0) for k in range(60)], "items array<string>, blocked boolean")
+    few = sorted(map(tuple, urls.matched(bags, urls.mine(bags)).collect()), key=str)
+    monkeypatch.setattr(urls, "BROADCAST", 0)
+    assert few and sorted(map(tuple, urls.matched(bags, urls.mine(bags)).collect()), key=str) == few
