@@ -9,6 +9,8 @@ from . import bpe, embedding, media, minhash, packing, pii, quality, suffix, tox
 
 #: The tokenizer file, of the installed package of public vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
+#: Bytes of a passage that is short for the 400 of the contract but no chance repeat; under 50 words of prose.
+PASSAGE = 240
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digest(table(spark, sf_dir, "documents"))
+    return suffix.digest(table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ equal strings of `length` bytes hold a sampled position at the same offset; it
 takes one position in about length / 3, and the steps follow the classical ones:
 
 1. Sample and name.  The starts that share a sampled position form a run.  A run is
-   named by the 128-bit fingerprint of all the bytes that its strings cover, and by
-   its sampled k-gram.
+   named by a 64-bit fingerprint of all the bytes that its strings cover, and by
+   that of its sampled k-gram.
 2. Compare names.  A run whose name occurs twice is repeated as a whole.  A run
    whose k-gram occurs under no other name has no partner.  Both are settled.
 3. Merge the rest.  Each run left, and one of each settled name that shares its
@@ -25,6 +25,14 @@ The triples of the textbook form (sample two of three suffixes, sort, recurse,
 merge) would shuffle some 20 bytes for each byte of text on every level; names of
 content-chosen samples take about a third of a byte.
 
+Bytes are compared by fingerprints alone.  Two different runs are taken for one only
+if both of their fingerprints agree, a chance of about 2 ** -128 a pair; two starts of
+one k-gram with a chance of about 2 ** -64.
+
+`digest` can count a shorter length on the way: strings of `length` bytes that repeat
+lie wholly in runs of repeated `passage`-byte strings, so only texts with such a run of
+`length` bytes or more, and of these only the runs, are looked at again.
+
 Defined results: null and empty texts, and those shorter than `length`, lose
 nothing unless a caller says otherwise; repeated rows are occurrences like any
 others, and so are two starts in one text, overlapping ones included; rows with
@@ -148,19 +156,32 @@ def segments(raw: np.ndarray, ends: np.ndarray, length: int):
             yield i, raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], 0
 
 
+def _windows(raw: np.ndarray, ends: np.ndarray, column: pa.Array | None) -> tuple[np.ndarray, ...]:
+    """Bytes and bounds of the windows of rows, end to end; the row and place of each window.  Without a column: the rows."""
+    if column is None:
+        return raw, ends, np.arange(len(ends) - 1), np.zeros(len(ends) - 1, np.int64)
+    at = column.offsets.to_numpy()
+    row = np.repeat(np.arange(len(column)), np.diff(at))
+    s, e = (column.values.field(k).to_numpy(zero_copy_only=False)[at[0] : at[-1]] for k in (0, 1))
+    parts = [raw[ends[i] + x : ends[i] + y] for i, x, y in zip(row, s, e)]
+    return np.concatenate([*parts, raw[:0]]), np.concatenate([[0], np.cumsum(e - s)]), row, s
+
+
 def run_table(docs: DataFrame, length: int) -> DataFrame:
-    """(r, p, n, g, u) of every run of (r, t)."""
+    """(r, p, n, g, u) of every run of (r, t), or of its windows w, an array of (s, e)."""
+    windows = "w" in docs.columns
 
     def work(batches):
         for batch in batches:
             raw, ends = utf8(batch.column(1))
             keys = batch.column(0).to_numpy()
+            raw, ends, owner, begin = _windows(raw, ends, batch.column(2) if windows else None)
             for i, part, off, place in segments(raw, ends, length):
                 row, p, n, g, u = runs(part, off, length)
-                cols = (keys[i + row], (p - off[row] + place).astype(np.int64), n.astype(np.int32), g, u)
+                cols = (keys[owner[i + row]], (p - off[row] + place + begin[i + row]).astype(np.int64), n.astype(np.int32), g, u)
                 yield pa.record_batch([pa.array(c) for c in cols], ["r", "p", "n", "g", "u"])
 
-    return docs.select("r", "t").mapInArrow(work, "r long, p long, n int, g long, u long")
+    return docs.select("r", "t", *(["w"] if windows else [])).mapInArrow(work, "r long, p long, n int, g long, u long")
 
 
 def start_names(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,9 +350,11 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select(F.col(ROW).alias("r"), "t", "id")
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    src = _source(docs, id_col, text_col)
+_DIGEST = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _digested(texts: DataFrame) -> DataFrame:
+    """The digest columns of (r, t, id, spans)."""
 
     def work(batches):
         for batch in batches:
@@ -344,8 +367,57 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             cols = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.record_batch([batch.column(2), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = src.repartition("r").join(covered(src, length), "r", "left").select("r", "t", "id", "spans")
-    return joined.mapInArrow(work, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return texts.select("r", "t", "id", "spans").mapInArrow(work, _DIGEST)
+
+
+def _passages(src: DataFrame, passage: int, length: int) -> DataFrame:
+    """(r, id, n_bytes, n_repeated, sha, t, w) of the rows of (r, t, id).
+
+    `n_repeated` counts the bytes in repeated strings of `passage` bytes.  `w` are the
+    runs of these of `length` bytes or more; rows without any have the digest of the
+    whole text in `sha`, and no text.
+    """
+
+    def work(batches):
+        for batch in batches:
+            raw, ends = utf8(batch.column(1))
+            total, sha, text, runs_ = [], [], [], []
+            for i, spans in enumerate(_span_arrays(batch.column(3))):
+                body = raw[ends[i] : ends[i + 1]]
+                gone = _gone(len(body), spans) if spans is not None else np.zeros((0, 2), np.int64)
+                size = gone[:, 1] - gone[:, 0]
+                wide = gone[size >= length]
+                total.append(int(size.sum()))
+                sha.append(None if len(wide) else hashlib.sha256(body.tobytes()).hexdigest())
+                text.append(batch.column(1)[i].as_py() if len(wide) else None)
+                runs_.append([{"s": int(a), "e": int(b)} for a, b in wide] if len(wide) else None)
+            kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+            cells = [pa.array(np.diff(ends)), pa.array(total, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string()), pa.array(runs_, kind)]
+            yield pa.record_batch([batch.column(0), batch.column(2), *cells], ["r", "id", "n_bytes", "n_repeated", "sha", "t", "w"])
+
+    joined = src.repartition("r").join(covered(src, passage), "r", "left").select("r", "t", "id", "spans")
+    return cut(joined.mapInArrow(work, "r long, id long, n_bytes long, n_repeated long, sha string, t string, w array<struct<s:long,e:long>>"))
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With `passage`, a shorter length, also n_repeated: the bytes in strings of so many
+    bytes that start elsewhere too.  These are only counted, not removed.
+    """
+    src = _source(docs, id_col, text_col)
+    if passage is None:
+        return _digested(src.repartition("r").join(covered(src, length), "r", "left")).withColumnRenamed("id", id_col)
+    if passage > length:
+        raise ValueError("passage must be at most length")
+    seen = _passages(src, passage, length)
+    wide = seen.filter("w is not null")
+    both = wide.select("r", "t", "id").repartition("r").join(covered(wide.select("r", "t", "id", "w"), length), "r", "left")
+    again = _digested(both.withColumn("id", F.col("r"))).withColumnRenamed("id", "r")
+    again = again.join(wide.select("r", "id", "n_repeated"), "r").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
+    none = F.lit(0).cast("long")
+    plain = seen.filter("w is null").select("id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), "n_repeated")
+    return plain.unionByName(again).withColumnRenamed("id", id_col)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, length_col: str | None = None) -> DataFrame:

@@ -78,3 +78,12 @@ def test_removal_keeps_columns_and_characters(spark, docs_of):
     assert text[403] is None and text[402] == "" and text[200] == "" and text[400] == ""
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
     assert suffix.digest(docs_of([])).count() == 0 and suffix.remove(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize(("length", "passage"), [(100, 40), (100, 100), (33, 20)])
+def test_passages_are_counted_on_the_way(spark, docs_of, length, passage):
+    rows = corpus(length + 1) + [(500 + k, "y" * 50 + "passage " * 6 + str(k) * 30) for k in range(3)]
+    got = [(tuple(r)[:5], r.n_repeated) for r in suffix.digest(docs_of(rows), length=length, passage=passage).collect()]
+    assert sorted((r for r, _ in got), key=str) == brute(rows, length)
+    assert sorted(((r[0], r[1], n) for r, n in got), key=str) == sorted(((d, n, gone) for d, n, gone, *_ in brute(rows, passage)), key=str)
+    assert suffix.digest(docs_of([]), passage=240).count() == 0
