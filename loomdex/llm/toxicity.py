@@ -1,16 +1,25 @@
 """Toxicity by an induced lexicon.
 
-Nodes are whole words in lower case, by a 64-bit hash of all their bytes.  A run of
-CJK characters has no blanks and counts as its overlapping pairs of characters.  A
-word that is no node may share its first six or four bytes with nodes; the mean
-polarity of these is an extra feature and never stands in for a word's own.  Document
-frequencies of all nodes come from the whole corpus, those by label from a bounded
-sample of labelled training rows.  The nodes that lean most to either label span a
-graph whose edges are positive pointwise mutual information of co-occurrence
-within a window, counted over the whole corpus.  Random walks with restart from
-toxic and from clean seeds give each node a polarity in -1..1.  A document's
-polarities become a few features, and logistic regression on the sample turns
-them into a score.
+Words are whole words in lower case, by a 64-bit hash of all their bytes.  A run of
+CJK characters has no blanks and counts as its overlapping pairs of characters.
+Document frequencies of all words come from the whole corpus, those by label from a
+bounded sample of labelled training rows.
+
+1. Words of at least three labelled rows that lean to a label by `LEAN` deviations or
+   more span a graph whose edges are positive pointwise mutual information of
+   co-occurrence within a window, counted over the whole corpus.  Random walks with
+   restart from toxic and from clean seeds give each a polarity in -1..1.  Seeds and
+   nodes have no cap; the rows of the sample alone bound their number.
+2. The walk goes on from the toxic seeds to every other word of the corpus, labelled
+   or not, that stands within the window of a seed with positive mutual information
+   and more often than chance explains.  These words and their polarities are a table
+   that grows with the corpus.  It goes to the tasks in slices of `SLICE` words, one
+   pass over the texts for each, so a lexicon of any size is used whole.
+
+A word that is no node of the graph may share its first six or four bytes with nodes;
+the mean polarity of these is an extra feature and never stands in for a word's own.
+A document's polarities become a few features, and logistic regression on the sample
+turns them into a score.
 
 Labels are used only where crc32(id as text) mod 5 is not 0; the score sees
 nothing but the text.
@@ -18,7 +27,9 @@ nothing but the text.
 Defined results: null, empty and wordless texts get the score of a document
 without any node; null ids are never labelled nor held out; repeated label rows
 count once, as toxic if one of them says so; without training labels of both
-kinds every score is the share of toxic ones, 0 if there are none.
+kinds every score is the share of toxic ones, 0 if there are none; repeated and null
+ids stay rows of their own; very long texts are one row of a task and count once;
+other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,16 +43,20 @@ from pyspark.sql import functions as F
 
 from . import words
 from .arrow import groups, utf8
-from .tables import cut, drop
+from .tables import ROW, cut, drop, free_name, keyed
 
 #: Labelled training rows at most, by the order of a hash of their id.
 SAMPLE = 1 << 17
-TOXIC_NODES, CLEAN_NODES, SEEDS = 512, 1024, 96
+#: Deviations from which a word's lean to a label makes it a node.
+LEAN = 2.0
+#: Seeds that count even if chance explains their lean; for small samples.
 LEAST_SEEDS = 8
+#: Words of the grown lexicon that go to the tasks at once: 16 MB.
+SLICE = 1 << 20
 WINDOW = 16
 RESTART = 0.25
 GROUP = 1 << 20
-FEATURES = 8
+FEATURES = 10
 
 
 def held_out(id_col: str):
@@ -160,99 +175,207 @@ def _labels_of(key: pa.Array, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(ids[k] == at, y[k], -1)
 
 
+def lean(a, b, n_a, n_b):
+    """Signed root of the log-likelihood ratio, about a z score, that a of n_a and b of n_b differ."""
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    share = n_a / (n_a + n_b)
+    both = part(a, (a + b) * share) + part(b, (a + b) * (1 - share)) + part(n_a - a, (n_a + n_b - a - b) * share) + part(n_b - b, (n_a + n_b - a - b) * (1 - share))
+    return F.signum(a * n_b - b * n_a) * F.sqrt(2 * F.greatest(both, F.lit(0.0)))
+
+
 def vocabulary(freq: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, list[bytes], np.ndarray, int]:
     """Nodes of the graph in ascending order, their words, their lean to toxic, and how many were tested.
 
-    The lean is the signed root of the log-likelihood ratio, about a z score.
-    Of the nodes in at least three labelled documents, those that lean most to
-    each label: a bounded number.
+    Of the words in at least three labelled rows, those that lean to a label by `LEAN`,
+    and the `LEAST_SEEDS` that lean most to either.
     """
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    share = n_toxic / (n_toxic + n_clean)
+    z = lean(F.col("toxic").cast("double"), F.col("clean").cast("double"), n_toxic, n_clean)
+    scored = cut(freq.filter("toxic + clean >= 3").select("node", "word", z.alias("z")))
+    ends = scored.filter("z > 0").orderBy(F.desc("z"), "node").limit(LEAST_SEEDS).unionByName(scored.filter("z <= 0").orderBy("z", "node").limit(LEAST_SEEDS))
+    got = scored.filter(F.abs("z") >= LEAN).unionByName(ends).distinct().toPandas().sort_values("node")  # words of the sample at most
+    tested = scored.count()
+    drop(scored)
+    return got["node"].to_numpy(np.int64), [bytes(w) for w in got["word"]], got["z"].to_numpy(float), tested
 
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    both = part(a, (a + b) * share) + part(b, (a + b) * (1 - share)) + part(n_toxic - a, (n_toxic + n_clean - a - b) * share) + part(n_clean - b, (n_toxic + n_clean - a - b) * (1 - share))
-    z = F.signum(a * n_clean - b * n_toxic) * F.sqrt(2 * F.greatest(both, F.lit(0.0)))
-    scored = freq.filter("toxic + clean >= 3").withColumn("z", z)
-    top = scored.filter("z > 0").orderBy(F.desc("z"), "node").limit(TOXIC_NODES).unionByName(scored.filter("z <= 0").orderBy("z", "node").limit(CLEAN_NODES))
-    got = top.select("node", "word", "z").toPandas().sort_values("node")
-    return got["node"].to_numpy(np.int64), [bytes(w) for w in got["word"]], got["z"].to_numpy(float), freq.filter("toxic + clean >= 3").count()
+#: What a row of `cooccurrences` counts.
+PAIRS, BESIDE, NEAR, ROWS, SEEDED = range(5)
+
 
+def cooccurrences(src: DataFrame, vocab: np.ndarray, seeds: np.ndarray, window: int = WINDOW) -> DataFrame:
+    """(kind, i, j, n) over all texts of (id, t).
 
-def cooccurrences(src: DataFrame, vocab: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """(i, j, n): how often two nodes stand in different words at most `window` apart."""
+    PAIRS: how often the nodes i and j stand in different words at most `window` apart.
+    BESIDE: rows with the word j, no node of the graph, at most `window` from seed i;
+    NEAR: from any seed.  ROWS and SEEDED: all rows, and those with a seed.
+    """
     size = len(vocab)
+    is_seed = np.zeros(size, bool)
+    is_seed[seeds] = True
+
+    def tallied(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        kind, i, j, n = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((j, i, kind))
+        kind, i, j, n = kind[order], i[order], j[order], n[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        at = np.flatnonzero(new)
+        return kind[at], i[at], j[at], np.add.reduceat(n, at) if len(at) else n
+
+    def pairs(row, at, word):
+        for s in range(1, window + 1):
+            gap = word[s:] - word[:-s]
+            near = (gap <= window) & (row[s:] == row[:-s])
+            if not near.any():
+                break
+            a, b = at[:-s][near], at[s:][near]
+            key, n = np.unique(np.minimum(a, b) * size + np.maximum(a, b), return_counts=True)
+            yield np.full(len(key), PAIRS), key // size, key % size, n
+
+    def beside(row, node, known, at):
+        """One count for each row, seed and word."""
+        p = np.flatnonzero(known & is_seed[at])
+        q = (p[:, None] + np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])[None, :]).ravel()
+        p = np.repeat(p, 2 * window)
+        ok = (q >= 0) & (q < len(node))
+        p, q = p[ok], q[ok]
+        ok = (row[p] == row[q]) & ~known[q]
+        p, q = p[ok], q[ok]
+        for kind, i in ((BESIDE, at[p]), (NEAR, np.full(len(p), -1))):
+            order = np.lexsort((row[q], node[q], i))
+            i, j, r = i[order], node[q][order], row[q][order]
+            new = np.ones(len(i), bool)
+            new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (r[1:] != r[:-1])
+            yield np.full(int(new.sum()), kind), i[new], j[new], np.ones(int(new.sum()), np.int64)
 
     def run(batches):
-        counts = np.zeros(size * size, np.int64)
-        for _, raw, off in _rows(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        size_ = rows = seeded = 0
+        for key, raw, off in _rows(batches):
             row, node, _ = nodes(raw, off)
             at = np.minimum(np.searchsorted(vocab, node), size - 1)
-            word = np.flatnonzero(vocab[at] == node)
-            row, at = row[word], at[word]
-            for s in range(1, window + 1):
-                gap = word[s:] - word[:-s]
-                near = (gap <= window) & (row[s:] == row[:-s])
-                if not near.any():
-                    break
-                a, b = at[:-s][near], at[s:][near]
-                pair = np.minimum(a, b) * size + np.maximum(a, b)
-                if len(pair) > size * size // 8:
-                    counts += np.bincount(pair, minlength=size * size)
-                else:
-                    uniq, n = np.unique(pair, return_counts=True)
-                    counts[uniq] += n
-        found = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array((found // size).astype(np.int32)), pa.array((found % size).astype(np.int32)), pa.array(counts[found])], ["i", "j", "n"])
-
-    out = src.mapInArrow(run, "i int, j int, n long")
-    return out.groupBy("i", "j").agg(F.sum("n").alias("n"))
-
-
-def ppmi(i: np.ndarray, j: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    """Symmetric positive pointwise mutual information, context counts smoothed, rare pairs discounted."""
-    c = np.zeros((size, size))
-    np.add.at(c, (i, j), n)
-    c = c + c.T
-    margin = c.sum(axis=1)
+            known = vocab[at] == node
+            word = np.flatnonzero(known)
+            rows += len(key)
+            seeded += len(np.unique(row[word][is_seed[at[word]]]))
+            new = [*pairs(row[word], at[word], word), *beside(row, node, known, at)]
+            held += new
+            size_ += sum(len(c[0]) for c in new)
+            if size_ > 1 << 21:
+                held = [tallied(held)]
+                size_ = len(held[0][0])
+                if size_ > 1 << 20:
+                    yield _pair_batch(held[0])
+                    held, size_ = [], 0
+        one = lambda kind, n: (np.array([kind]), np.array([-1]), np.array([-1]), np.array([n]))
+        yield _pair_batch(tallied([*held, one(ROWS, rows), one(SEEDED, seeded)]))
+
+    out = src.mapInArrow(run, "kind int, i int, j long, n long")
+    return out.groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
+
+
+def _pair_batch(c: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c[0].astype(np.int32)), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(np.int64)), pa.array(c[3].astype(np.int64))], ["kind", "i", "j", "n"])
+
+
+def grown(counts: DataFrame, freq: DataFrame, vocab: np.ndarray, seeds: np.ndarray, mass: np.ndarray, tested: int) -> DataFrame:
+    """(node, word, polarity) of the words beyond the graph that the walk reaches from its toxic seeds.
+
+    `mass` is the walk's share of visits at each seed.  A step goes to a word with
+    positive mutual information, in proportion to it, rare pairs discounted.
+    """
+    spark = counts.sparkSession
+    total = {r.kind: r.n for r in counts.filter(F.col("kind").isin(ROWS, SEEDED)).collect()}
+    n_rows, n_seeded = float(total.get(ROWS, 0)), float(total.get(SEEDED, 0))
+    df = freq.select(F.col("node").alias("j"), "word", F.col("df").cast("double").alias("df"))
+    of_seed = spark.createDataFrame(list(zip(seeds.tolist(), vocab[seeds].tolist(), mass.tolist())), "i int, node long, mass double")
+    of_seed = F.broadcast(of_seed.join(freq.select("node", F.col("df").cast("double").alias("di")), "node").select("i", "mass", "di"))  # seeds only
+    near = counts.filter((F.col("kind") == NEAR) & (F.col("n") >= 3)).select("j", F.col("n").cast("double").alias("near")).join(df, "j")
+    apart = lean(F.col("near"), F.col("df") - F.col("near"), n_seeded, n_rows - n_seeded)
+    near = near.filter(apart > np.sqrt(2 * np.log(max(tested, 2)))).select("j", "word", "df")
+    both = counts.filter(F.col("kind") == BESIDE).select("i", "j", F.col("n").cast("double").alias("n")).join(near, "j").join(of_seed, "i")
+    step = F.log(F.col("n") * n_rows / (F.col("di") * F.col("df"))) * F.col("n") / (F.col("n") + 2)
+    steps = cut(both.select("i", "j", "word", "mass", step.alias("m")).filter("m > 0"))
+    out = steps.groupBy("i").agg(F.sum("m").alias("out"))
+    visits = steps.join(F.broadcast(out), "i").groupBy("j").agg(F.min("word").alias("word"), F.sum(F.col("mass") * F.col("m") / F.col("out")).alias("a"))
+    mean = visits.agg(F.avg("a").alias("mean"))
+    return visits.crossJoin(F.broadcast(mean)).select(F.col("j").alias("node"), "word", (F.col("a") / (F.col("a") + F.col("mean"))).alias("polarity"))
+
+
+def ppmi(i: np.ndarray, j: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symmetric positive pointwise mutual information, context counts smoothed, rare pairs discounted: from, to, weight."""
+    i, j, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([n, n]).astype(float)
+    margin = np.bincount(i, c, size)
     smooth = margin**0.75
-    with np.errstate(divide="ignore", invalid="ignore"):
-        m = np.log(c * smooth.sum() / np.outer(margin, smooth))
-    m = np.where(np.isfinite(m) & (m > 0), m, 0.0) * c / (c + 2)
-    return (m + m.T) / 2
-
-
-def walk(m: np.ndarray, seeds: np.ndarray, restart: float = RESTART, steps: int = 60) -> np.ndarray:
-    """Visits of a random walk over edge weights m that restarts at the seeds."""
-    out = m.sum(axis=1)
-    p = m / np.where(out > 0, out, 1)[:, None]
+    side = lambda x, y: np.maximum(np.log(c * smooth.sum() / (margin[x] * smooth[y])), 0)
+    m = (side(i, j) + side(j, i)) / 2 * c / (c + 2)
+    keep = m > 0
+    return i[keep], j[keep], m[keep]
+
+
+def walk(edges: tuple[np.ndarray, np.ndarray, np.ndarray], seeds: np.ndarray, restart: float = RESTART, steps: int = 60) -> np.ndarray:
+    """Visits of a random walk over weighted edges that restarts at the seeds."""
+    i, j, m = edges
+    size = len(seeds)
+    out = np.bincount(i, m, size)
+    p = m / np.where(out > 0, out, 1)[i]
     s = seeds / max(seeds.sum(), 1e-300)
     v = s.copy()
     for _ in range(steps):
-        v = restart * s + (1 - restart) * (v @ p + v[out == 0].sum() * s)
+        v = restart * s + (1 - restart) * (np.bincount(j, v[i] * p, size) + v[out == 0].sum() * s)
     return v
 
 
 @dataclass
 class Model:
+    """Nodes of the graph with words and polarities; `wide`, the table (node, word, polarity) of words beyond it."""
+
     vocab: np.ndarray
     words: list[bytes]
     polarity: np.ndarray
     coefficients: np.ndarray
+    wide: DataFrame | None = None
 
     def lexicon(self) -> list[tuple[str, float]]:
-        """Words and polarities, most toxic first."""
+        """Words and polarities of the graph, most toxic first."""
         order = np.argsort(-self.polarity, kind="stable")
         return [(self.words[k].decode("utf-8", "replace"), float(self.polarity[k])) for k in order]
 
+    def slices(self) -> list[DataFrame]:
+        """`wide` in parts of about SLICE words."""
+        n = self.wide.count() if self.wide is not None else 0
+        k = -(-n // SLICE)
+        return [self.wide.filter(F.pmod(F.xxhash64("node"), F.lit(k)) == x) for x in range(k)]
+
+
+def _arrays(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = part.select("node", "polarity").toPandas().sort_values("node")
+    return got["node"].to_numpy(np.int64), got["polarity"].to_numpy(float)
+
+
+def beyond(row: np.ndarray, node: np.ndarray, n: int, wide: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(rows, 2): sum of the polarities and number of the words of the grown lexicon."""
+    out = np.zeros((n, 2))
+    if len(wide[0]) and len(node):
+        at = np.minimum(np.searchsorted(wide[0], node), len(wide[0]) - 1)
+        hit = wide[0][at] == node
+        out[:, 0] = np.bincount(row[hit], wide[1][at[hit]], n)
+        out[:, 1] = np.bincount(row[hit], minlength=n)
+    return out
+
 
-def features(raw: np.ndarray, offsets: np.ndarray, vocab: np.ndarray, polarity: np.ndarray, six: tuple, four: tuple) -> np.ndarray:
-    """(rows, FEATURES): what a row's polarities amount to; the last two are those of words that are known by their stem only."""
+def features(raw: np.ndarray, offsets: np.ndarray, vocab: np.ndarray, polarity: np.ndarray, six: tuple, four: tuple, wide: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(rows, FEATURES): what a row's polarities amount to; 6 and 7 are those of words that are known by their stem only.
+
+    The last two are the sums of `beyond`, without logarithm: those of slices of a lexicon add up.
+    """
     n = len(offsets) - 1
     out = np.zeros((n, FEATURES))
     row, node, (low, starts, size) = nodes(raw, offsets)
+    out[:, 8:] = beyond(row, node, n, wide)
     if not len(vocab) or not len(row):
         return out
     at = np.minimum(np.searchsorted(vocab, node), len(vocab) - 1)
@@ -295,65 +418,138 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id") -> tuple[DataFrame, Model]:
-    """(id, held_out, score, predicted) of every row, and the model fitted on the way."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+def _design(f: np.ndarray) -> np.ndarray:
+    """Features as the regression takes them."""
+    return np.hstack([f[:, :8], np.log1p(f[:, 8:])])
+
+
+def _probability(f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_design(f) @ w[:-1] + w[-1], -30, 30)))
+
+
+def _featured(src: DataFrame, model: Model, wide: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(r, id, f) of (r, t, id)."""
+    vocab, polarity = model.vocab, model.polarity
+    six, four = stems(model.words, polarity, 6), stems(model.words, polarity, 4)
+
+    def run(batches):
+        for batch in batches:
+            raw, ends = utf8(batch.column(1))
+            for i, j in groups(ends, GROUP):
+                f = features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], vocab, polarity, six, four, wide)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), FEATURES).cast(pa.list_(pa.float64()))], ["r", "id", "f"])
+
+    return src.select("r", "t", "id").mapInArrow(run, "r long, id long, f array<double>")
+
+
+def _more(src: DataFrame, wide: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(r, p, q): the sums of `beyond` of the rows that hold words of a slice."""
+
+    def run(batches):
+        for batch in batches:
+            raw, ends = utf8(batch.column(1))
+            for i, j in groups(ends, GROUP):
+                row, node, _ = nodes(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+                f = beyond(row, node, j - i, wide)
+                some = np.flatnonzero(f[:, 1])
+                yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(some)), pa.array(f[some, 0]), pa.array(f[some, 1])], ["r", "p", "q"])
+
+    return src.select("r", "t").mapInArrow(run, "r long, p double, q double")
+
+
+def _all_features(src: DataFrame, model: Model) -> DataFrame:
+    """(r, id, f) with the sums over all slices of the lexicon."""
+    parts = model.slices()
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    rows = _featured(src, model, _arrays(parts[0]) if parts else none)
+    if len(parts) < 2:
+        return rows
+    more = _more(src, _arrays(parts[1]))
+    for part in parts[2:]:
+        more = more.unionByName(_more(src, _arrays(part)))
+    sums = more.groupBy("r").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    added = F.concat(F.slice("f", 1, 8), F.array(F.get("f", F.lit(8)) + F.coalesce("p", F.lit(0.0)), F.get("f", F.lit(9)) + F.coalesce("q", F.lit(0.0))))
+    return rows.join(sums, "r", "left").select("r", "id", added.alias("f"))
+
+
+def _fitted(src: DataFrame, labels: DataFrame, label_col: str, label_id: str) -> tuple[DataFrame, Model]:
+    """(r, id, f) of every row of (r, t, id), and the model."""
     ids, y = sample(labels, label_id, label_col)
     n_toxic, n_clean = int((y == 1).sum()), int((y == 0).sum())
-    vocab, text, polarity = np.zeros(0, np.int64), [], np.zeros(0)
+    model = Model(np.zeros(0, np.int64), [], np.zeros(0), np.zeros(FEATURES + 1))
     if n_toxic and n_clean:
-        freq = cut(frequencies(src, ids, y))
-        vocab, text, lean, tested = vocabulary(freq, n_toxic, n_clean)
+        texts = src.select("id", "t")
+        freq = cut(frequencies(texts, ids, y))
+        vocab, text, z, tested = vocabulary(freq, n_toxic, n_clean)
+        if len(vocab):
+            order = np.argsort(-z, kind="stable")
+            sure = np.sqrt(2 * np.log(max(tested, 2)))
+            toxic, clean = np.zeros(len(vocab)), np.zeros(len(vocab))
+            toxic[[k for n, k in enumerate(order) if z[k] > (sure if n >= LEAST_SEEDS else 0)]] = 1
+            clean[z < 0] = 1
+            counts = cut(cooccurrences(texts, vocab, np.flatnonzero(toxic)))
+            got = counts.filter(F.col("kind") == PAIRS).select("i", F.col("j").cast("int").alias("j"), "n").toArrow()  # pairs of nodes at most
+            edges = ppmi(*(got.column(c).to_numpy() for c in "ijn"), len(vocab))
+            a, b = walk(edges, toxic), walk(edges, clean)
+            seeds = np.flatnonzero(toxic)
+            wide = cut(grown(counts, freq, vocab, seeds, a[seeds] / max(a[seeds].sum(), 1e-300), tested))
+            model = Model(vocab, text, (a - b) / (a + b + 1 / len(vocab)), model.coefficients, wide)
+            drop(counts)
         drop(freq)
-    if len(vocab):
-        edges = cooccurrences(src, vocab).toPandas()  # at most the square of the vocabulary
-        m = ppmi(edges["i"].to_numpy(), edges["j"].to_numpy(), edges["n"].to_numpy(float), len(vocab))
-        order = np.argsort(-lean, kind="stable")
-        sure = np.sqrt(2 * np.log(max(tested, 2)))
-        toxic, clean = np.zeros(len(vocab)), np.zeros(len(vocab))
-        toxic[[k for n, k in enumerate(order[:SEEDS]) if lean[k] > (sure if n >= LEAST_SEEDS else 0)]] = 1
-        clean[lean < 0] = 1
-        a, b = walk(m, toxic), walk(m, clean)
-        polarity = (a - b) / (a + b + 1 / len(vocab))
-
-    six, four = stems(text, polarity, 6), stems(text, polarity, 4)
-
-    def run(batches):
-        for key, raw, off in _rows(batches):
-            f = features(raw, off, vocab, polarity, six, four)
-            yield pa.record_batch([key, pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), FEATURES).cast(pa.list_(pa.float64()))], ["id", "f"])
-
-    rows = cut(src.mapInArrow(run, "id long, f array<double>"))
-    w = np.zeros(FEATURES + 1)
+    w = model.coefficients
     w[-1] = np.log(max(n_toxic, 1e-9) / max(n_clean, 1e-9)) if len(ids) else -30
-    if len(vocab):
+    rows = cut(_all_features(src, model))
+    if len(model.vocab):
         known = rows.filter(F.col("id").isNotNull() & ~held_out("id"))
         fit = known.join(labels.select(F.col(label_id).cast("long").alias("id")).distinct(), "id", "left_semi")
         got = fit.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # bounded like the labels
         x = np.array(got.column("f").to_pylist(), float).reshape(-1, FEATURES)
         label = _labels_of(got.column("id").combine_chunks(), ids, y)
-        w = logistic(x[label >= 0], label[label >= 0])
+        model.coefficients = logistic(_design(x[label >= 0]), label[label >= 0])
+    return rows, model
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    w = model.coefficients
     z = F.lit(float(w[-1]))
     for k in range(FEATURES):
-        z = z + F.col("f")[k] * float(w[k])
-    p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    out = rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), p.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), Model(vocab, text, polarity, w)
+        z = z + (F.col("f")[k] if k < 8 else F.log1p(F.col("f")[k])) * float(w[k])
+    return rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id") -> tuple[DataFrame, Model]:
+    """(id, held_out, score, predicted) of every row, and the model fitted on the way."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    src = keyed(src, "id").withColumnRenamed(ROW, "r")
+    rows, model = _fitted(src, labels, label_col, label_id)
+    out = _scored(rows, model).select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), model
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """`docs` without the rows that score `threshold` or more; all columns stay, and no text is shuffled."""
-    model = score(docs, labels, id_col, text_col, label_col)[1]
+    """`docs` without the rows that score `threshold` or more; all columns stay.
+
+    No text is shuffled unless the lexicon has more than one slice.
+    """
+    name = free_name(docs, ROW)
+    base = keyed(docs, id_col, name)
+    src = base.select(F.col(name).alias("r"), F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("id"))
+    rows, model = _fitted(src, labels, label_col, "doc_id")
+    parts = model.slices()
+    if len(parts) > 1:
+        good = _scored(rows, model).filter(F.col("score") < threshold).select(F.col("r").alias(name))
+        return base.join(good, name, "left_semi").select(docs.columns)
+    drop(rows)
     at = docs.columns.index(text_col)
     vocab, polarity, w = model.vocab, model.polarity, model.coefficients
     six, four = stems(model.words, polarity, 6), stems(model.words, polarity, 4)
+    wide = _arrays(parts[0]) if parts else (np.zeros(0, np.int64), np.zeros(0))
 
     def run(batches):
         for batch in batches:
             raw, ends = utf8(batch.column(at))
             for i, j in groups(ends, GROUP):
-                f = features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], vocab, polarity, six, four)
-                p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
+                p = _probability(features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], vocab, polarity, six, four, wide), w)
                 yield batch.slice(i, j - i).filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, docs.schema)

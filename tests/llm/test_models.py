@@ -117,3 +117,70 @@ def test_words_are_hashed_whole():
     raw = np.frombuffer(b"abcdefghij abcdefgxij", np.uint8)
     _, (_, token, head, _) = quality.measures(raw, np.array([0, len(raw)]))
     assert token[0] != token[1] and head[0] == head[1]
+
+
+def test_cooccurrences_equal_brute_force(spark):
+    from collections import Counter
+
+    rnd = random.Random(12)
+    rows = [(k, " ".join(rnd.choice("alpha beta gamma delta omega psi chi".split()) for _ in range(rnd.randrange(60)))) for k in range(40)] + [(99, None), (98, "")]
+    name = lambda w: int(words_hash(w))
+    vocab = np.sort([name(w) for w in ("alpha", "beta", "gamma")])
+    index = {w: int(np.searchsorted(vocab, name(w))) for w in ("alpha", "beta", "gamma")}
+    seeds = np.sort([index["alpha"], index["beta"]])
+    want, window = Counter(), 3
+    for _, t in rows:
+        seen = (t or "").split()
+        beside, near = set(), set()
+        for p, w in enumerate(seen):
+            for q in range(max(0, p - window), min(len(seen), p + window + 1)):
+                v = seen[q]
+                if p < q and w in index and v in index:
+                    want[(toxicity.PAIRS, *sorted((index[w], index[v])))] += 1
+                if w in ("alpha", "beta") and v not in index:
+                    beside.add((index[w], name(v)))
+                    near.add(name(v))
+        want.update((toxicity.BESIDE, *x) for x in beside)
+        want.update((toxicity.NEAR, -1, x) for x in near)
+        want[(toxicity.ROWS, -1, -1)] += 1
+        want[(toxicity.SEEDED, -1, -1)] += bool({"alpha", "beta"} & set(seen))
+    src = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    got = {(r.kind, r.i, r.j): r.n for r in toxicity.cooccurrences(src, vocab, seeds, window).collect()}
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n}
+
+
+def words_hash(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return toxicity.nodes(raw, np.array([0, len(raw)]))[1][0]
+
+
+def test_lexicon_grows_beyond_the_labelled_words(spark, docs_of, monkeypatch):
+    rows, truth = toxic_rows()
+    rnd = random.Random(9)
+    for k in range(10_000, 10_400):
+        words = ["".join(rnd.choice("abcdefghi") for _ in range(rnd.randrange(2, 8))) for _ in range(50)]
+        if k % 4 == 0:
+            at = rnd.randrange(40)
+            words[at:at] = ["vilest", rnd.choice(["grawlix", "jarns"]), "wretch", "quimps", "zounds"]
+        rows.append((k, " ".join(words)))
+    labels = spark.createDataFrame([(k, 1, y, "x") for k, y in truth.items()], LABELS)
+    out, model = toxicity.score(docs_of(rows), labels)
+    wide = {bytes(r.word).decode(): r.polarity for r in model.wide.collect()}
+    assert wide.keys() >= {"grawlix", "jarns", "quimps"} and min(wide[w] for w in ("grawlix", "jarns", "quimps")) > 0
+    assert not {bytes(w).decode() for w in model.words} & {"grawlix", "jarns", "quimps"}
+    key = lambda df: sorted((r.doc_id or -1, round(r.score, 12)) for r in df.collect())
+    whole = key(out)
+    kept = toxicity.reject(docs_of(rows), labels).count()
+    monkeypatch.setattr(toxicity, "SLICE", 1)
+    assert len(model.slices()) == len(wide) > 2
+    assert key(toxicity.score(docs_of(rows), labels)[0]) == whole
+    assert toxicity.reject(docs_of(rows), labels).count() == kept
+
+
+def test_toxicity_of_long_texts_and_empty_tables(spark, docs_of):
+    rows, truth = toxic_rows()
+    long = "abc def " * 200_000
+    labels = spark.createDataFrame([(k, 1, y, "x") for k, y in truth.items()], LABELS)
+    got = {r.doc_id: r for r in toxicity.score(docs_of([*rows, (7000, long), (7001, long + "vilest wretch zounds knavery " * 50)]), labels)[0].collect()}
+    assert got[7000].predicted == 0 and got[7001].score > got[7000].score
+    assert toxicity.score(docs_of([]), labels)[0].count() == 0 and toxicity.reject(docs_of([]), labels).count() == 0
