@@ -5,11 +5,11 @@ CJK characters has no blanks and counts as its overlapping pairs of characters.
 Document frequencies of all words come from the whole corpus, those by label from a
 bounded sample of labelled training rows.
 
-1. Words of at least three labelled rows that lean to a label by `LEAN` deviations or
-   more span a graph whose edges are positive pointwise mutual information of
+1. Words of at least three labelled rows that lean to a label by two deviations, or by
+   more where more than `BY_CHANCE` would do so by chance, span a graph whose edges are positive pointwise mutual information of
    co-occurrence within a window, counted over the whole corpus.  Random walks with
    restart from toxic and from clean seeds give each a polarity in -1..1.  Seeds and
-   nodes have no cap; the rows of the sample alone bound their number.
+   nodes have no cap; what chance doesn't explain is a node, however many there are.
 2. The walk goes on from the toxic seeds to every other word of the corpus, labelled
    or not, that stands within the window of a seed with positive mutual information
    and more often than chance explains.  These words and their polarities are a table
@@ -35,6 +35,7 @@ other columns play no part.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ from .tables import ROW, cut, drop, free_name, keyed
 
 #: Labelled training rows at most, by the order of a hash of their id.
 SAMPLE = 1 << 17
-#: Deviations from which a word's lean to a label makes it a node.
-LEAN = 2.0
+#: A word whose lean to a label passes the level that so many words pass by chance is a node; two deviations at least.
+BY_CHANCE = 1024
 #: Seeds that count even if chance explains their lean; for small samples.
 LEAST_SEEDS = 8
 #: Words of the grown lexicon that go to the tasks at once: 16 MB.
@@ -189,14 +190,15 @@ def lean(a, b, n_a, n_b):
 def vocabulary(freq: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, list[bytes], np.ndarray, int]:
     """Nodes of the graph in ascending order, their words, their lean to toxic, and how many were tested.
 
-    Of the words in at least three labelled rows, those that lean to a label by `LEAN`,
-    and the `LEAST_SEEDS` that lean most to either.
+    Of the words in at least three labelled rows, those that lean to a label at the level
+    of `BY_CHANCE`, and the `LEAST_SEEDS` that lean most to either.
     """
     z = lean(F.col("toxic").cast("double"), F.col("clean").cast("double"), n_toxic, n_clean)
     scored = cut(freq.filter("toxic + clean >= 3").select("node", "word", z.alias("z")))
-    ends = scored.filter("z > 0").orderBy(F.desc("z"), "node").limit(LEAST_SEEDS).unionByName(scored.filter("z <= 0").orderBy("z", "node").limit(LEAST_SEEDS))
-    got = scored.filter(F.abs("z") >= LEAN).unionByName(ends).distinct().toPandas().sort_values("node")  # words of the sample at most
     tested = scored.count()
+    least = max(2.0, NormalDist().inv_cdf(1 - min(0.5, BY_CHANCE / max(tested, 1)) / 2))
+    ends = scored.filter("z > 0").orderBy(F.desc("z"), "node").limit(LEAST_SEEDS).unionByName(scored.filter("z <= 0").orderBy("z", "node").limit(LEAST_SEEDS))
+    got = scored.filter(F.abs("z") >= least).unionByName(ends).distinct().toPandas().sort_values("node")  # words of the sample at most
     drop(scored)
     return got["node"].to_numpy(np.int64), [bytes(w) for w in got["word"]], got["z"].to_numpy(float), tested
 
