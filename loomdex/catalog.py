@@ -158,8 +158,7 @@ def bm25_filtered(spark, d):
   SELECT item_id AS query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
 )
 def bm25_batch(spark, d):
-    docs = _docs(spark, d)
-    out = bm25.search_batch(bm25.postings(docs), bm25.doc_lengths(docs), table(spark, d, "benchmark"), 10, "item_id")
+    out = bm25.search_texts(_docs(spark, d), table(spark, d, "benchmark"), 10, "item_id")
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -433,7 +432,7 @@ HITS_SQL = f"""{INDEX}, asked AS (SELECT DISTINCT item_id, unnest({tokens_sql('t
 )
 def quality_metrics(spark, d):
     docs, items = _docs(spark, d), table(spark, d, "benchmark")
-    hits = bm25.search_batch(bm25.postings(docs), bm25.doc_lengths(docs), items, 10, "item_id")
+    hits = bm25.search_texts(docs, items, 10, "item_id")
     labels = items.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("b")).join(docs.select("doc_id", (F.col("doc_id") % 40).alias("b")), "b")
     out = quality.metrics(hits, labels, 10)
     return out.select("query_id", "hit", *(F.round(c, 6).alias(c) for c in ("reciprocal_rank", "recall", "ndcg")))
