@@ -5,16 +5,17 @@ CJK characters has no blanks and counts as its overlapping pairs of characters.
 Document frequencies of all words come from the whole corpus, those by label from a
 bounded sample of labelled training rows.
 
-1. Words of at least three labelled rows that lean to a label by two deviations, or by
-   more where more than `BY_CHANCE` would do so by chance, span a graph whose edges are positive pointwise mutual information of
-   co-occurrence within a window, counted over the whole corpus.  Random walks with
-   restart from toxic and from clean seeds give each a polarity in -1..1.  Seeds and
-   nodes have no cap; what chance doesn't explain is a node, however many there are.
-2. The walk goes on from the toxic seeds to every other word of the corpus, labelled
-   or not, that stands within the window of a seed with positive mutual information
-   and more often than chance explains.  These words and their polarities are a table
-   that grows with the corpus.  It goes to the tasks in slices of `SLICE` words, one
-   pass over the texts for each, so a lexicon of any size is used whole.
+1. Words of at least three labelled rows that lean to clean ones, or have `MOST` of their
+   rows toxic, by more deviations than `BY_CHANCE` words would reach by chance, span a
+   graph.  Its edges are positive pointwise mutual information
+   of co-occurrence within a window, counted over the whole corpus.  Random walks with
+   restart from toxic seeds (nodes that chance doesn't explain, the weight of each its
+   log-likelihood ratio) and from clean ones give each a polarity in -1..1.  Seeds and nodes have no cap.
+2. The walk goes on from the toxic seeds, taken as one node, to every other word of the
+   corpus, labelled or not, that stands within the window of a seed with positive mutual
+   information and more often than chance explains.  These words and their polarities
+   are a table that grows with the corpus.  It goes to the tasks in slices of `SLICE`
+   words, one pass over the texts for each, so a lexicon of any size is used whole.
 
 A word that is no node of the graph may share its first six or four bytes with nodes;
 the mean polarity of these is an extra feature and never stands in for a word's own.
@@ -48,8 +49,9 @@ from .tables import ROW, cut, drop, free_name, keyed
 
 #: Labelled training rows at most, by the order of a hash of their id.
 SAMPLE = 1 << 17
-#: A word whose lean to a label passes the level that so many words pass by chance is a node; two deviations at least.
+#: A word whose lean to a label passes the level that so many words pass by chance may be a node; two deviations at least.
 BY_CHANCE = 1024
+MOST = 0.5
 #: Seeds that count even if chance explains their lean; for small samples.
 LEAST_SEEDS = 8
 #: Words of the grown lexicon that go to the tasks at once: 16 MB.
@@ -187,32 +189,32 @@ def lean(a, b, n_a, n_b):
     return F.signum(a * n_b - b * n_a) * F.sqrt(2 * F.greatest(both, F.lit(0.0)))
 
 
-def vocabulary(freq: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, list[bytes], np.ndarray, int]:
-    """Nodes of the graph in ascending order, their words, their lean to toxic, and how many were tested.
+def vocabulary(freq: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, int]:
+    """Nodes of the graph in ascending order, their words, leans to toxic and toxic shares, and how many words were tested.
 
-    Of the words in at least three labelled rows, those that lean to a label at the level
-    of `BY_CHANCE`, and the `LEAST_SEEDS` that lean most to either.
+    Of the words in at least three labelled rows, those that lean to a label at the
+    level of `BY_CHANCE`, toxic ones with `MOST` of their rows toxic, and the `LEAST_SEEDS` that lean most to either.
     """
     z = lean(F.col("toxic").cast("double"), F.col("clean").cast("double"), n_toxic, n_clean)
-    scored = cut(freq.filter("toxic + clean >= 3").select("node", "word", z.alias("z")))
+    scored = cut(freq.filter("toxic + clean >= 3").select("node", "word", z.alias("z"), (F.col("toxic") / (F.col("toxic") + F.col("clean"))).alias("share")))
     tested = scored.count()
     least = max(2.0, NormalDist().inv_cdf(1 - min(0.5, BY_CHANCE / max(tested, 1)) / 2))
     ends = scored.filter("z > 0").orderBy(F.desc("z"), "node").limit(LEAST_SEEDS).unionByName(scored.filter("z <= 0").orderBy("z", "node").limit(LEAST_SEEDS))
-    got = scored.filter(F.abs("z") >= least).unionByName(ends).distinct().toPandas().sort_values("node")  # words of the sample at most
+    got = scored.filter((F.abs("z") >= least) & ((F.col("share") >= MOST) | (F.col("z") < 0))).unionByName(ends).distinct().toPandas().sort_values("node")  # words of the sample at most
     drop(scored)
-    return got["node"].to_numpy(np.int64), [bytes(w) for w in got["word"]], got["z"].to_numpy(float), tested
+    return got["node"].to_numpy(np.int64), [bytes(w) for w in got["word"]], got["z"].to_numpy(float), got["share"].to_numpy(float), tested
 
 
 #: What a row of `cooccurrences` counts.
-PAIRS, BESIDE, NEAR, ROWS, SEEDED = range(5)
+PAIRS, NEAR, ROWS, SEEDED = range(4)
 
 
 def cooccurrences(src: DataFrame, vocab: np.ndarray, seeds: np.ndarray, window: int = WINDOW) -> DataFrame:
     """(kind, i, j, n) over all texts of (id, t).
 
     PAIRS: how often the nodes i and j stand in different words at most `window` apart.
-    BESIDE: rows with the word j, no node of the graph, at most `window` from seed i;
-    NEAR: from any seed.  ROWS and SEEDED: all rows, and those with a seed.
+    NEAR: rows with the word j, no node of the graph, at most `window` from a seed.
+    ROWS and SEEDED: all rows, and those with a seed.
     """
     size = len(vocab)
     is_seed = np.zeros(size, bool)
@@ -237,21 +239,22 @@ def cooccurrences(src: DataFrame, vocab: np.ndarray, seeds: np.ndarray, window:
             key, n = np.unique(np.minimum(a, b) * size + np.maximum(a, b), return_counts=True)
             yield np.full(len(key), PAIRS), key // size, key % size, n
 
-    def beside(row, node, known, at):
-        """One count for each row, seed and word."""
+    def near(row, node, known, at):
+        """One count for each row and word."""
+        beside = np.zeros(len(node), bool)
         p = np.flatnonzero(known & is_seed[at])
-        q = (p[:, None] + np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])[None, :]).ravel()
-        p = np.repeat(p, 2 * window)
-        ok = (q >= 0) & (q < len(node))
-        p, q = p[ok], q[ok]
-        ok = (row[p] == row[q]) & ~known[q]
-        p, q = p[ok], q[ok]
-        for kind, i in ((BESIDE, at[p]), (NEAR, np.full(len(p), -1))):
-            order = np.lexsort((row[q], node[q], i))
-            i, j, r = i[order], node[q][order], row[q][order]
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (r[1:] != r[:-1])
-            yield np.full(int(new.sum()), kind), i[new], j[new], np.ones(int(new.sum()), np.int64)
+        for d in (*range(-window, 0), *range(1, window + 1)):
+            q = p + d
+            ok = (q >= 0) & (q < len(node))
+            ok[ok] = row[p[ok]] == row[q[ok]]
+            beside[q[ok]] = True
+        q = np.flatnonzero(beside & ~known)
+        order = np.lexsort((row[q], node[q]))
+        j, r = node[q][order], row[q][order]
+        new = np.ones(len(j), bool)
+        new[1:] = (j[1:] != j[:-1]) | (r[1:] != r[:-1])
+        j, n = np.unique(j[new], return_counts=True)
+        yield np.full(len(j), NEAR), np.full(len(j), -1), j, n
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
@@ -263,7 +266,7 @@ def cooccurrences(src: DataFrame, vocab: np.ndarray, seeds: np.ndarray, window:
             word = np.flatnonzero(known)
             rows += len(key)
             seeded += len(np.unique(row[word][is_seed[at[word]]]))
-            new = [*pairs(row[word], at[word], word), *beside(row, node, known, at)]
+            new = [*pairs(row[word], at[word], word), *near(row, node, known, at)]
             held += new
             size_ += sum(len(c[0]) for c in new)
             if size_ > 1 << 21:
@@ -283,28 +286,21 @@ def _pair_batch(c: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c[0].astype(np.int32)), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(np.int64)), pa.array(c[3].astype(np.int64))], ["kind", "i", "j", "n"])
 
 
-def grown(counts: DataFrame, freq: DataFrame, vocab: np.ndarray, seeds: np.ndarray, mass: np.ndarray, tested: int) -> DataFrame:
+def grown(counts: DataFrame, freq: DataFrame, tested: int) -> DataFrame:
     """(node, word, polarity) of the words beyond the graph that the walk reaches from its toxic seeds.
 
-    `mass` is the walk's share of visits at each seed.  A step goes to a word with
-    positive mutual information, in proportion to it, rare pairs discounted.
+    A step goes to a word with positive mutual information, in proportion to it, rare
+    pairs discounted; the polarity compares its visits with the mean of such words.
     """
-    spark = counts.sparkSession
     total = {r.kind: r.n for r in counts.filter(F.col("kind").isin(ROWS, SEEDED)).collect()}
     n_rows, n_seeded = float(total.get(ROWS, 0)), float(total.get(SEEDED, 0))
     df = freq.select(F.col("node").alias("j"), "word", F.col("df").cast("double").alias("df"))
-    of_seed = spark.createDataFrame(list(zip(seeds.tolist(), vocab[seeds].tolist(), mass.tolist())), "i int, node long, mass double")
-    of_seed = F.broadcast(of_seed.join(freq.select("node", F.col("df").cast("double").alias("di")), "node").select("i", "mass", "di"))  # seeds only
     near = counts.filter((F.col("kind") == NEAR) & (F.col("n") >= 3)).select("j", F.col("n").cast("double").alias("near")).join(df, "j")
     apart = lean(F.col("near"), F.col("df") - F.col("near"), n_seeded, n_rows - n_seeded)
-    near = near.filter(apart > np.sqrt(2 * np.log(max(tested, 2)))).select("j", "word", "df")
-    both = counts.filter(F.col("kind") == BESIDE).select("i", "j", F.col("n").cast("double").alias("n")).join(near, "j").join(of_seed, "i")
-    step = F.log(F.col("n") * n_rows / (F.col("di") * F.col("df"))) * F.col("n") / (F.col("n") + 2)
-    steps = cut(both.select("i", "j", "word", "mass", step.alias("m")).filter("m > 0"))
-    out = steps.groupBy("i").agg(F.sum("m").alias("out"))
-    visits = steps.join(F.broadcast(out), "i").groupBy("j").agg(F.min("word").alias("word"), F.sum(F.col("mass") * F.col("m") / F.col("out")).alias("a"))
+    step = F.log(F.col("near") * n_rows / (n_seeded * F.col("df"))) * F.col("near") / (F.col("near") + 2)
+    visits = near.filter(apart > np.sqrt(2 * np.log(max(tested, 2)))).select(F.col("j").alias("node"), "word", step.alias("a")).filter("a > 0")
     mean = visits.agg(F.avg("a").alias("mean"))
-    return visits.crossJoin(F.broadcast(mean)).select(F.col("j").alias("node"), "word", (F.col("a") / (F.col("a") + F.col("mean"))).alias("polarity"))
+    return visits.crossJoin(F.broadcast(mean)).select("node", "word", (F.col("a") / (F.col("a") + F.col("mean"))).alias("polarity"))
 
 
 def ppmi(i: np.ndarray, j: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -482,19 +478,20 @@ def _fitted(src: DataFrame, labels: DataFrame, label_col: str, label_id: str) ->
     if n_toxic and n_clean:
         texts = src.select("id", "t")
         freq = cut(frequencies(texts, ids, y))
-        vocab, text, z, tested = vocabulary(freq, n_toxic, n_clean)
+        vocab, text, z, share, tested = vocabulary(freq, n_toxic, n_clean)
         if len(vocab):
             order = np.argsort(-z, kind="stable")
             sure = np.sqrt(2 * np.log(max(tested, 2)))
             toxic, clean = np.zeros(len(vocab)), np.zeros(len(vocab))
-            toxic[[k for n, k in enumerate(order) if z[k] > (sure if n >= LEAST_SEEDS else 0)]] = 1
-            clean[z < 0] = 1
+            first = np.zeros(len(vocab), bool)
+            first[order[:LEAST_SEEDS]] = True
+            is_toxic = (z > 0) & (first | ((z > sure) & (share >= MOST)))
+            toxic[is_toxic], clean[z < 0] = z[is_toxic] ** 2, 1
             counts = cut(cooccurrences(texts, vocab, np.flatnonzero(toxic)))
             got = counts.filter(F.col("kind") == PAIRS).select("i", F.col("j").cast("int").alias("j"), "n").toArrow()  # pairs of nodes at most
             edges = ppmi(*(got.column(c).to_numpy() for c in "ijn"), len(vocab))
             a, b = walk(edges, toxic), walk(edges, clean)
-            seeds = np.flatnonzero(toxic)
-            wide = cut(grown(counts, freq, vocab, seeds, a[seeds] / max(a[seeds].sum(), 1e-300), tested))
+            wide = cut(grown(counts, freq, tested))
             model = Model(vocab, text, (a - b) / (a + b + 1 / len(vocab)), model.coefficients, wide)
             drop(counts)
         drop(freq)

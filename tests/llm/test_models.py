@@ -131,16 +131,14 @@ def test_cooccurrences_equal_brute_force(spark):
     want, window = Counter(), 3
     for _, t in rows:
         seen = (t or "").split()
-        beside, near = set(), set()
+        near = set()
         for p, w in enumerate(seen):
             for q in range(max(0, p - window), min(len(seen), p + window + 1)):
                 v = seen[q]
                 if p < q and w in index and v in index:
                     want[(toxicity.PAIRS, *sorted((index[w], index[v])))] += 1
                 if w in ("alpha", "beta") and v not in index:
-                    beside.add((index[w], name(v)))
                     near.add(name(v))
-        want.update((toxicity.BESIDE, *x) for x in beside)
         want.update((toxicity.NEAR, -1, x) for x in near)
         want[(toxicity.ROWS, -1, -1)] += 1
         want[(toxicity.SEEDED, -1, -1)] += bool({"alpha", "beta"} & set(seen))
