@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -26,11 +26,6 @@ def check_options(bm25_weight: float, vector_weight: float, rrf_k: int) -> None:
         raise InvalidArgument("rrf_k must be 1 to 10000")
 
 
-def visible(expected: Column, deleted: Column, revision: Column, tracked: Column) -> Column:
-    """Untracked rows show; tracked ones if they are not deleted and their revision is the expected one."""
-    return ~tracked | (~deleted & expected.eqNullSafe(revision))
-
-
 def fuse(lexical: DataFrame | None, near: DataFrame | None, k: int, bm25_weight: float = 1.0, vector_weight: float = 1.0, rrf_k: int = RRF_K) -> DataFrame:
     """(doc_id, score, source, ranks, contributions) of the k best fused hits, ties by id.
 
@@ -51,19 +46,23 @@ def fuse(lexical: DataFrame | None, near: DataFrame | None, k: int, bm25_weight:
     return both.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def explain(docs: DataFrame, vectors: DataFrame, query: str, query_vector, k: int = 10, candidate_k: int = 100, bm25_weight: float = 1.0, vector_weight: float = 1.0, rrf_k: int = RRF_K, eligible: DataFrame | None = None) -> DataFrame:
-    """Fused hits with ranks and contributions; a source of weight 0 is not run."""
+def explain(docs: DataFrame, vectors: DataFrame, query: str, query_vector, k: int = 10, candidate_k: int = 100, bm25_weight: float = 1.0, vector_weight: float = 1.0, rrf_k: int = RRF_K, eligible: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Fused hits with ranks and contributions; a source of weight 0 is not run.
+
+    `state` hides deleted and stale vectors, before the candidate limit where
+    `eligible` is given and after it otherwise.
+    """
     check_options(bm25_weight, vector_weight, rrf_k)
     bm25.check_k(k)
     bm25.check_k(candidate_k)
     lexical = bm25.search(docs, query, candidate_k, eligible) if bm25_weight else None
-    near = vector.search(vectors, query_vector, candidate_k, eligible) if vector_weight else None
+    near = vector.search(vectors, query_vector, candidate_k, eligible, state=state) if vector_weight else None
     return fuse(lexical, near, k, bm25_weight, vector_weight, rrf_k)
 
 
-def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector, k: int = 10, eligible: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector, k: int = 10, eligible: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, source) with k candidates of each source."""
-    return explain(docs, vectors, query, query_vector, k, k, eligible=eligible).select("doc_id", "score", "source")
+    return explain(docs, vectors, query, query_vector, k, k, eligible=eligible, state=state).select("doc_id", "score", "source")
 
 
 def with_metadata(hits: DataFrame, metadata: DataFrame, columns=METADATA) -> DataFrame:
@@ -72,7 +71,18 @@ def with_metadata(hits: DataFrame, metadata: DataFrame, columns=METADATA) -> Dat
     return found.withColumn("text_len", F.coalesce("text_len", F.lit(0))) if "text_len" in columns else found
 
 
-def search_filtered(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, query: str, query_vector, filters: SearchFilter, k: int = 10, columns=METADATA + FACETS) -> DataFrame:
+def search_metadata(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, query: str, query_vector, k: int = 10, columns=METADATA, state: DataFrame | None = None) -> DataFrame:
+    """Unfiltered search; hits carry their metadata."""
+    return with_metadata(search(docs, vectors, query, query_vector, k, state=state), metadata, columns)
+
+
+def search_filtered(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, query: str, query_vector, filters: SearchFilter, k: int = 10, columns=METADATA + FACETS, state: DataFrame | None = None) -> DataFrame:
     """Search within the documents that the filter admits; their number is bounded by an error."""
     ids = eligible_ids(metadata, filters)
-    return with_metadata(search(docs, vectors, query, query_vector, k, ids), metadata, columns)
+    return with_metadata(search(docs, vectors, query, query_vector, k, ids, state), metadata, columns)
+
+
+def explain_filtered(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, query: str, query_vector, filters: SearchFilter, k: int = 10, candidate_k: int = 100, columns=METADATA + FACETS, state: DataFrame | None = None, **weights) -> DataFrame:
+    """The same with ranks, contributions and metadata of every hit."""
+    ids = eligible_ids(metadata, filters)
+    return with_metadata(explain(docs, vectors, query, query_vector, k, candidate_k, eligible=ids, state=state, **weights), metadata, columns)

@@ -16,11 +16,28 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import StateConflict
-from ..functions.text import tokens
+import hashlib
+
+from ..errors import HashCollision, StateConflict
+from ..functions.text import LONG_TERM_BYTES, LONG_TERM_PREFIX, term_key
 from ..operators import bm25
 
 
+def key_of(term: str) -> str:
+    """The stored key of a query's term, as `term_key` makes it."""
+    raw = term.encode()
+    return LONG_TERM_PREFIX + hashlib.sha256(raw).hexdigest() if len(raw) > LONG_TERM_BYTES else term
+
+
+def keyed_postings(docs: DataFrame) -> DataFrame:
+    """Postings under their stored keys; two long terms with one key raise."""
+    raw = bm25.postings(docs)
+    long = raw.filter(F.octet_length("term") > LONG_TERM_BYTES).select("term").distinct()
+    if not long.groupBy(term_key(F.col("term")).alias("key")).count().filter("count > 1").isEmpty():
+        raise HashCollision("two long terms share a key")
+    return raw.withColumn("term", term_key(F.col("term")))
+
+
 class StoredIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, Path(path)
@@ -31,7 +48,7 @@ class StoredIndex:
         base = self.path / name
         lengths = bm25.doc_lengths(docs)
         lengths.write.parquet(str(base / "lengths"))
-        stored = bm25.postings(docs).join(self.spark.read.parquet(str(base / "lengths")), "doc_id")
+        stored = keyed_postings(docs).join(self.spark.read.parquet(str(base / "lengths")), "doc_id")
         stored.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(str(base / "postings"))
         written = self.spark.read.parquet(str(base / "postings"))
         bm25.doc_frequency(written).sort("term").write.parquet(str(base / "terms"))
@@ -55,7 +72,7 @@ class StoredIndex:
         """(doc_id, score) of the k best documents; the terms reach the scan as a filter."""
         bm25.check_k(k)
         state = self._current()
-        terms = bm25.query_terms(self.table("lengths"), query) if k else []
+        terms = [key_of(t) for t in bm25.query_terms(self.table("lengths"), query)] if k else []
         if not terms or not state["avg_doc_len"]:
             return self.spark.createDataFrame([], "doc_id long, score double")
         hits = self.table("postings").filter(F.col("term").isin(terms))
@@ -73,7 +90,7 @@ class StoredIndex:
         ids = docs.select("doc_id")
         keep = self.table("lengths").join(ids, "doc_id", "left_anti").unionByName(bm25.doc_lengths(docs))
         keep.write.parquet(str(base / "lengths"))
-        new = bm25.postings(docs).join(bm25.doc_lengths(docs), "doc_id")
+        new = keyed_postings(docs).join(bm25.doc_lengths(docs), "doc_id")
         merged = self.table("postings").join(ids, "doc_id", "left_anti").unionByName(new, allowMissingColumns=False)
         merged.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(str(base / "postings"))
         bm25.doc_frequency(self.spark.read.parquet(str(base / "postings"))).sort("term").write.parquet(str(base / "terms"))
@@ -83,7 +100,16 @@ class StoredIndex:
         os.replace(part, self.path / "_current.json")
         return base.name
 
-
-def matches(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents that hold any of the terms, without an index."""
-    return docs.filter(F.arrays_overlap(tokens(F.col("text")), F.array(*(F.lit(t) for t in terms))))
+    def remove(self, ids: DataFrame) -> str:
+        """A new version without the documents of (doc_id)."""
+        base = self.path / f"v-{uuid.uuid4().hex}"
+        gone = ids.select("doc_id").distinct()
+        self.table("lengths").join(gone, "doc_id", "left_anti").write.parquet(str(base / "lengths"))
+        rest = self.table("postings").join(gone, "doc_id", "left_anti")
+        rest.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(str(base / "postings"))
+        bm25.doc_frequency(self.spark.read.parquet(str(base / "postings"))).sort("term").write.parquet(str(base / "terms"))
+        stats = bm25.corpus_stats(self.spark.read.parquet(str(base / "lengths"))).first()
+        part = self.path / f".{uuid.uuid4().hex}"
+        part.write_text(json.dumps({"current": base.name, "doc_count": stats.doc_count, "avg_doc_len": stats.avg_doc_len}))
+        os.replace(part, self.path / "_current.json")
+        return base.name

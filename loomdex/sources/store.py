@@ -19,9 +19,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from collections.abc import Callable
+
 from ..errors import InvalidArgument, LimitExceeded, NotPermitted, NullArgument, StateConflict
+from ..operators import vector
 
 MAX_BATCH = 10_000
+#: Seconds after which a lock whose owner did not come back may be taken over.
+LEASE_S = 900.0
 COLUMNS = "id long, vector array<float>, label string, revision string"
 
 
@@ -43,28 +48,65 @@ class Policy:
         return full
 
 
+@contextlib.contextmanager
+def leased(at: Path, wait_s: float = 30, lease_s: float = LEASE_S):
+    """Hold the lock file `at`; yields a check that raises once another owner has taken it over.
+
+    The file names its owner and when its lease ends; a killed owner's lock can be
+    taken over then, by one rename, so two waiters can't both get it.
+    """
+    me, end = uuid.uuid4().hex, time.monotonic() + wait_s
+    body = lambda: json.dumps({"owner": me, "until": time.time() + lease_s})
+    while True:
+        try:
+            with os.fdopen(os.open(at, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                f.write(body())
+            break
+        except FileExistsError:
+            try:
+                held = at.read_text()
+                age = time.time() - at.stat().st_mtime
+            except FileNotFoundError:
+                continue
+            if (json.loads(held)["until"] if held else time.time() + lease_s - age) < time.time():
+                with contextlib.suppress(FileNotFoundError):
+                    os.rename(at, at.with_name(f"{at.name}.{me}"))
+                    at.with_name(f"{at.name}.{me}").unlink()
+                continue
+            if time.monotonic() > end:
+                raise StateConflict("another writer holds the data set") from None
+            time.sleep(0.05)
+
+    def check() -> None:
+        if not at.exists() or f'"{me}"' not in at.read_text():
+            raise StateConflict("the lock was taken over")
+
+    try:
+        yield check
+    finally:
+        if at.exists() and f'"{me}"' in at.read_text():
+            at.unlink(missing_ok=True)
+
+
 class VectorStore:
     def __init__(self, spark: SparkSession, policy: Policy):
         self.spark, self.policy = spark, policy
+        #: Called with (uri, ids or None) before a direct write; a queue sets it to refuse some.
+        self.guard: Callable[[str, DataFrame | None], None] | None = None
+        self._check: Callable[[], None] = lambda: None
 
     @contextlib.contextmanager
     def lock(self, uri: str, wait_s: float = 30):
-        """One writer per data set."""
+        """One writer per data set; a writer that lost its lease can't publish."""
         path = self.policy.resolve(uri)
         path.mkdir(parents=True, exist_ok=True)
-        at, end = path / "_lock", time.monotonic() + wait_s
-        while True:
-            try:
-                os.close(os.open(at, os.O_CREAT | os.O_EXCL))
-                break
-            except FileExistsError:
-                if time.monotonic() > end:
-                    raise StateConflict("another writer holds the data set") from None
-                time.sleep(0.05)
-        try:
+        with leased(path / "_lock", wait_s) as check:
+            self._check = check
             yield path
-        finally:
-            at.unlink(missing_ok=True)
+
+    def _direct(self, uri: str, ids: DataFrame | None, queued: bool) -> None:
+        if self.guard is not None and not queued:
+            self.guard(uri, ids)
 
     def _manifest(self, uri: str) -> dict:
         at = self.policy.resolve(uri) / "_manifest.json"
@@ -73,6 +115,7 @@ class VectorStore:
         return json.loads(at.read_text())
 
     def _publish(self, path: Path, manifest: dict, dirs: list[str], event: str, rows: int) -> int:
+        self._check()
         version = max((v["version"] for v in manifest["versions"]), default=0) + 1
         now = int(time.time() * 1000)
         manifest["versions"].append({"version": version, "created_ms": now, "dirs": dirs})
@@ -132,6 +175,7 @@ class VectorStore:
 
     def append(self, uri: str, rows: DataFrame) -> int:
         """Append rows, duplicates allowed; returns their number."""
+        self._direct(uri, rows, False)
         with self.lock(uri) as path:
             m = self._manifest(uri)
             rows = self._checked(rows, m["dim"], False)
@@ -148,8 +192,9 @@ class VectorStore:
         rows = one.select("flat", "labels", F.posexplode("ids").alias("i", "id")).select("id", F.slice("flat", F.col("i") * dim + 1, F.lit(dim)).alias("vector"), F.get("labels", F.col("i")).alias("label"))
         return self.append(uri, rows)
 
-    def upsert(self, uri: str, rows: DataFrame, most: int | None = MAX_BATCH) -> int:
+    def upsert(self, uri: str, rows: DataFrame, most: int | None = MAX_BATCH, queued: bool = False) -> int:
         """Replace or add rows by id in one new version, which is returned; more than `most` rows raise, None is no limit."""
+        self._direct(uri, rows, queued)
         with self.lock(uri) as path:
             m = self._manifest(uri)
             rows = self._checked(rows, m["dim"], True, most)
@@ -159,13 +204,18 @@ class VectorStore:
             name = self._write(path, old.join(rows.select("id"), "id", "left_anti").unionByName(rows))
             return self._publish(path, m, [name], "upsert", rows.count())
 
-    def delete(self, uri: str, ids: DataFrame) -> int:
+    def delete(self, uri: str, ids: DataFrame, queued: bool = False) -> int:
         """Remove the rows of (id) in one new version, which is returned."""
+        self._direct(uri, ids, queued)
         with self.lock(uri) as path:
             m = self._manifest(uri)
             name = self._write(path, self.read(uri).join(ids.select("id").distinct(), "id", "left_anti"))
             return self._publish(path, m, [name], "delete", ids.count())
 
+    def search(self, uri: str, query, k: int = 10, eligible: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+        """(id, label, distance) of the nearest vectors; a query of another dimension raises."""
+        return vector.search(self.read(uri), query, k, eligible, id_col="id", vec_col="vector", label_col="label", state=state, dim=self.dim(uri))
+
     def scan(self, uri: str, limit: int = 100) -> DataFrame:
         if not 0 <= limit <= self.policy.max_scan_rows:
             raise LimitExceeded(f"a scan returns {self.policy.max_scan_rows} rows at most")
@@ -191,6 +241,7 @@ class VectorStore:
         """Make an old version the newest one; returns the version asked for."""
         if not self.policy.allow_destructive:
             raise NotPermitted("restoring is switched off")
+        self._direct(uri, None, False)
         with self.lock(uri) as path:
             m = self._manifest(uri)
             entry = next((v for v in m["versions"] if v["version"] == version), None)
