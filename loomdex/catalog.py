@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -233,6 +234,51 @@ def hybrid_filtered(spark, d):
     return _explained(_hybrid(spark, d, eligible=ids))
 
 
+_VIS = "vec_id IN (SELECT doc_id FROM vis)"
+
+
+def _revised(spark, d) -> DataFrame:
+    """Vectors with revisions, some old."""
+    n = F.col("vec_id")
+    return table(spark, d, "embeddings").withColumn("revision", F.when(n % 7 == 0, "old").otherwise(F.md5(F.concat(F.lit("r"), n))))
+
+
+STATE_SQL = "state AS (SELECT doc_id, md5('r' || doc_id) AS revision, doc_id % 5 = 0 AS is_deleted FROM documents WHERE doc_id % 3 <> 1), rows_ AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5('r' || doc_id) END AS revision FROM documents)"
+_SHOWN = "vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 1 AND (doc_id % 5 = 0 OR doc_id % 7 = 0))"
+
+
+@register("vector_search_labelled", near_sql(10, _SHOWN + " AND vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')").replace("SELECT vec_id AS id,", "SELECT vec_id AS id, CAST(label AS VARCHAR) AS label,").replace(DISTANCE, f"round({DISTANCE}, 6)"))
+def vector_search_labelled(spark, d):
+    """Labels with the hits, deleted and stale vectors hidden before the limit."""
+    ids = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
+    out = vector.search(_revised(spark, d), _vector_of(spark, d), 10, ids, label_col="label", state=_state(spark, d))
+    return out.select("id", F.col("label").cast("string").alias("label"), F.round("distance", 6).alias("distance"))
+
+
+def _visible_sql() -> str:
+    """Candidates as without state, then the hidden ones go from the vectors."""
+    return fused_sql(100).replace(") , f AS", "), f AS").replace("v AS (SELECT id AS doc_id", "v0 AS (SELECT id AS doc_id", 1).replace("),\n  f AS", f"),\n  v AS (SELECT doc_id, row_number() OVER (ORDER BY vr) AS vr FROM v0 WHERE {_SHOWN.replace('vec_id NOT', 'doc_id NOT')}),\n  f AS", 1)
+
+
+@register("hybrid_visible", _visible_sql() + " SELECT doc_id, round(score, 6) AS score, source, bm25_rank, vector_rank FROM t")
+def hybrid_visible(spark, d):
+    """Deleted and stale vectors don't show in an unfiltered hybrid search."""
+    out = hybrid.explain(_docs(spark, d), _revised(spark, d), QUERY, _vector_of(spark, d), state=_state(spark, d))
+    return out.select("doc_id", F.round("score", 6).alias("score"), "source", "bm25_rank", "vector_rank")
+
+
+@register("hybrid_metadata_unfiltered", fused_sql(10) + " SELECT doc_id, round(score, 6) AS score, source, target_uri, strftime(warc_date, '%Y-%m-%dT%H:%M:%SZ') AS warc_date, coalesce(text_len, 0) AS text_len FROM t LEFT JOIN meta USING (doc_id)")
+def hybrid_metadata_unfiltered(spark, d):
+    out = hybrid.search_metadata(_docs(spark, d), table(spark, d, "embeddings"), metadata(spark, d), QUERY, _vector_of(spark, d))
+    return out.select("doc_id", F.round("score", 6).alias("score"), "source", "target_uri", text.utc_timestamp(F.col("warc_date")).alias("warc_date"), "text_len")
+
+
+@register("hybrid_filtered_explain_metadata", fused_sql(100, where=_EN) + " SELECT doc_id, round(score, 6) AS score, source, bm25_rank, vector_rank, target_uri, domain, content_language FROM t LEFT JOIN meta USING (doc_id)")
+def hybrid_filtered_explain_metadata(spark, d):
+    out = hybrid.explain_filtered(_docs(spark, d), table(spark, d, "embeddings"), metadata(spark, d), QUERY, _vector_of(spark, d), filters.SearchFilter.parse(_EN_FILTER))
+    return out.select("doc_id", F.round("score", 6).alias("score"), "source", "bm25_rank", "vector_rank", "target_uri", "domain", "content_language")
+
+
 @register("hybrid_metadata", fused_sql(10, where=_EN) + " SELECT doc_id, round(score, 6) AS score, source, target_uri, coalesce(text_len, 0) AS text_len, domain, content_language, media_type, collection_id FROM t LEFT JOIN meta USING (doc_id)")
 def hybrid_metadata(spark, d):
     out = hybrid.search_filtered(_docs(spark, d), table(spark, d, "embeddings"), metadata(spark, d), QUERY, _vector_of(spark, d), filters.SearchFilter.parse(_EN_FILTER))
@@ -283,6 +329,33 @@ def scalar_helpers(spark, d):
     return rows.select("l_orderkey", "l_linenumber", scalars.add_numbers(big, F.lit(1000000000)).alias("added"), scalars.shout(F.col("l_returnflag")).alias("shouted"), scalars.greatest_of(F.col("l_linenumber"), F.lit(3), F.col("l_suppkey") % 5).alias("top"), scalars.is_even(F.col("l_orderkey")).alias("even"), scalars.word_count(F.concat_ws(" ", "l_returnflag", "l_linestatus")).alias("words"))
 
 
+@register("label_filter", "SELECT page_id FROM pages WHERE contains(lower(concat_ws(chr(10), url, html)), 'casino')")
+def label_filter(spark, d):
+    return table(spark, d, "pages").filter(text.label_matches("Casino", F.col("url"), F.col("html"))).select("page_id")
+
+
+_CJK_SQL = tokens_sql("'中文检索 ' || text || ' 日本語 한국 字'")
+
+
+@register("tokenize_cjk", f"SELECT doc_id, list_aggregate({_CJK_SQL}, 'string_agg', ' ') AS tokens FROM documents")
+def tokenize_cjk(spark, d):
+    """Bigrams of CJK runs among ASCII words."""
+    mixed = F.concat(F.lit("中文检索 "), "text", F.lit(" 日本語 한국 字"))
+    return _docs(spark, d).select("doc_id", F.array_join(text.tokens(mixed), " ").alias("tokens"))
+
+
+@register("term_frequencies_cjk", f"SELECT doc_id, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT doc_id, unnest({_CJK_SQL}) AS term FROM documents) GROUP BY ALL")
+def term_frequencies_cjk(spark, d):
+    mixed = F.concat(F.lit("中文检索 "), "text", F.lit(" 日本語 한국 字"))
+    return bm25.postings(_docs(spark, d).select("doc_id", mixed.alias("text")))
+
+
+@register("scalar_more", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 0 THEN 2 * l_linenumber END AS doubled, l_linenumber * 3 + l_suppkey AS summed FROM lineitem")
+def scalar_more(spark, d):
+    line, other = F.col("l_linenumber").cast("int"), F.col("l_suppkey").cast("int")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.double_or_none(line).alias("doubled"), scalars.array_sum(F.array(line, line, line, other)).alias("summed"))
+
+
 # Change queue, state and store, over jobs and revisions derived from the tables.
 
 JOBS_SQL = """jobs AS (SELECT event_id AS job_id, 'set' || (user_id % 7) AS uri,
@@ -296,8 +369,6 @@ def jobs(spark, d) -> DataFrame:
     return table(spark, d, "events").select(n.alias("job_id"), F.concat(F.lit("set"), F.col("user_id") % 7).alias("uri"), state.alias("state"), (n % 9).cast("int").alias("attempts"), (n % 100).cast("double").alias("next_attempt"), F.lit(None).cast("string").alias("error"))
 
 
-STATE_SQL = "state AS (SELECT doc_id, md5('r' || doc_id) AS revision, doc_id % 5 = 0 AS is_deleted FROM documents WHERE doc_id % 3 <> 1), rows_ AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5('r' || doc_id) END AS revision FROM documents)"
-
 
 def _state(spark, d) -> DataFrame:
     n = F.col("doc_id")
@@ -438,6 +509,27 @@ def quality_metrics(spark, d):
     return out.select("query_id", "hit", *(F.round(c, 6).alias(c) for c in ("reciprocal_rank", "recall", "ndcg")))
 
 
+@register(
+    "method_compare",
+    f"""WITH {HITS_SQL}, g AS (SELECT query_id, min(rank) AS best, count(*) AS found FROM hits JOIN labels_ USING (query_id, doc_id) GROUP BY query_id),
+  n AS (SELECT query_id, count(*) AS n FROM labels_ GROUP BY query_id)
+  SELECT 'bm25' AS method, count(*) AS queries, round(avg(CASE WHEN best IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr, round(avg(coalesce(found / n, 0)), 6) AS recall FROM n LEFT JOIN g USING (query_id)""",
+)
+def method_compare(spark, d):
+    docs, items = _docs(spark, d), table(spark, d, "benchmark")
+    labels = items.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("b")).join(docs.select("doc_id", (F.col("doc_id") % 40).alias("b")), "b")
+    out = quality.compare_methods({"bm25": bm25.search_texts(docs, items, 10, "item_id")}, labels, 10)
+    return out.select("method", "queries", *(F.round(c, 6).alias(c) for c in ("hit_rate", "mrr", "recall")))
+
+
+@register("label_findings", "SELECT 'repeated_query' AS finding, NULL::BIGINT AS query_id, NULL::BIGINT AS doc_id WHERE false UNION ALL SELECT 'query_without_labels', item_id, NULL FROM benchmark WHERE item_id % 2 = 1 UNION ALL SELECT 'label_of_unknown_document', item_id, item_id + 1000000000 FROM benchmark WHERE item_id % 4 = 0")
+def label_findings(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    n = F.col("query_id")
+    labels = items.filter(n % 2 == 0).select("query_id", F.when(n % 4 == 0, n + 1_000_000_000).otherwise(n % 100).cast("long").alias("doc_id"))
+    return quality.check_labels(items, labels, table(spark, d, "documents")).withColumn("query_id", F.col("query_id").cast("long"))
+
+
 @register("regression_ratio", "WITH b AS (SELECT event_type AS metric, avg(value) AS base FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT event_type AS metric, avg(value) AS candidate FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT metric, round(base, 6) AS base, round(candidate, 6) AS candidate, round(candidate / base - 1, 6) AS ratio, candidate / base - 1 > 0.01 AS failed FROM b JOIN c USING (metric)")
 def regression_ratio(spark, d):
     side = lambda bit: table(spark, d, "events").filter(F.col("event_id") % 2 == bit).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
@@ -459,28 +551,38 @@ def source_coverage(spark, d):
 # Byte-level operators; rows only.
 
 
+def _mapped(rows: DataFrame, schema: str, make) -> DataFrame:
+    """The first column, and what `make` makes of the others, over Arrow batches."""
+    names = [x.split(" ", 1) for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+
+    def run(batches):
+        for b in batches:
+            cells = zip(*(c.to_pylist() for c in b.columns[1:]))
+            yield pa.record_batch([b.column(0), pa.array([make(*x) for x in cells], kinds[names[1][1]])], [n for n, _ in names])
+
+    return rows.mapInArrow(run, schema)
+
+
 @register("html_text")
 def html_text(spark, d):
-    make = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else warc.html_text(x)), "string")
-    return table(spark, d, "pages").select("page_id", make("html").alias("text"))
+    return _mapped(table(spark, d, "pages").select("page_id", "html"), "page_id long, text string", lambda x: None if x is None else warc.html_text(x))
 
 
 @register("stable_ids")
 def stable_ids(spark, d):
-    make = F.udf(lambda u, x: warc.doc_id(u, None, x), "long")
-    return table(spark, d, "pages").select("page_id", make("url", F.sha2("html", 256)).alias("doc_id"))
+    return _mapped(table(spark, d, "pages").select("page_id", "url", F.sha2("html", 256)), "page_id long, doc_id long", lambda u, x: warc.doc_id(u, None, x))
 
 
 @register("revisions")
 def revisions(spark, d):
-    make = F.udf(lambda i, t: warc.revision({"doc_id": i}, t or ""), "string")
-    return _docs(spark, d).select("doc_id", make("doc_id", "text").alias("revision"))
+    rows = _docs(spark, d).select("doc_id", F.col("doc_id").alias("i"), "text")
+    return _mapped(rows, "doc_id long, revision string", lambda i, t: warc.revision({"doc_id": i}, t or ""))
 
 
 @register("hash_embedding")
 def hash_embedding(spark, d):
-    make = F.udf(lambda t: warc.hash_embedding(t or "", 16), "array<double>")
-    return _docs(spark, d).select("doc_id", make("text").alias("vector"))
+    return _mapped(_docs(spark, d).select("doc_id", "text"), "doc_id long, vector array<double>", lambda t: warc.hash_embedding(t or "", 16))
 
 
 @register("snippets")
@@ -504,6 +606,12 @@ def warc_import(spark, d):
     return warc.read(spark, f"file://{out}/*.txt").select("ordinal", "doc_id", "target_uri", "domain", "media_type", "http_status", "text_len", "status", "reason")
 
 
+@register("import_accounting", "SELECT 'imported' AS status, count(*) AS n FROM pages")
+def import_accounting(spark, d):
+    """Outcomes of the archive import; every page is one record of its file."""
+    return warc_import(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @register("bm25_stored_index", ORACLE_SQL["bm25_search"])
 def bm25_stored_index(spark, d):
     """The same search over a stored, term-clustered index."""

@@ -83,6 +83,16 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, starts).otherwise(F.array().cast("array<struct<chunk_index:int,char_start:int,char_end:int>>"))
 
 
+def utc_timestamp(at: Column) -> Column:
+    """A timestamp as text in UTC, to the second, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def label_matches(label: str, *columns: Column) -> Column:
+    """Whether a label occurs in any of the texts, whatever the case; columns end at a line."""
+    return F.contains(F.lower(F.concat_ws("\n", *columns)), F.lit(label.lower()))
+
+
 def media_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
 

@@ -35,6 +35,44 @@ def metrics(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     )
 
 
+METHODS = ("bm25", "vector", "hybrid")
+
+
+def compare_methods(runs: dict[str, DataFrame], expected: DataFrame, k: int) -> DataFrame:
+    """(method, queries, hit_rate, mrr, recall, ndcg) of several rankers against the same labels."""
+    if not runs or not set(runs) <= set(METHODS):
+        raise InvalidArgument(f"methods are {', '.join(METHODS)}")
+    out = None
+    for name, hits in runs.items():
+        one = metrics(hits, expected, k).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return summary(out, ["method"])
+
+
+def check_labels(queries: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """(finding, query_id, doc_id) of what is wrong with a fixture.
+
+    `queries` is (query_id, text), `labels` (query_id, doc_id), `documents` (doc_id).
+    """
+    none = F.lit(None).cast("long")
+    q, d = F.col("query_id"), F.col("doc_id")
+    kind = dict(queries.dtypes)["query_id"]
+    tag = lambda df, what, a=q, b=none: df.select(F.lit(what).alias("finding"), a.cast(kind).alias("query_id"), b.cast("long").alias("doc_id"))
+    known = queries.select("query_id").distinct()
+    found = [
+        tag(queries.groupBy("query_id").count().filter("count > 1"), "repeated_query"),
+        tag(queries.filter(F.coalesce(F.trim("text"), F.lit("")) == ""), "empty_query"),
+        tag(known.join(labels, "query_id", "left_anti"), "query_without_labels"),
+        tag(labels.groupBy("query_id", "doc_id").count().filter("count > 1"), "repeated_label", q, d),
+        tag(labels.join(known, "query_id", "left_anti"), "label_of_unknown_query", q, d),
+        tag(labels.join(documents.select("doc_id").distinct(), "doc_id", "left_anti"), "label_of_unknown_document", q, d),
+    ]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def summary(per_query: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means over queries, of all or of each group."""
     return per_query.groupBy(*(by or [])).agg(

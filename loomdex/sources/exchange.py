@@ -59,3 +59,29 @@ def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], batc
 
     src = rows.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
     return src.mapInPandas(run, "doc_id long, vector array<float>")
+
+
+def remote(post: Callable[[list[str]], list[dict]]) -> Callable[[list[str]], list[list[float]]]:
+    """A model for `embed` out of a client call.
+
+    `post` sends a list of texts and returns items with index and embedding in any
+    order; each index must come once.
+    """
+
+    def model(texts: list[str]) -> list[list[float]]:
+        items = post(texts)
+        if sorted(x["index"] for x in items) != list(range(len(texts))):
+            raise ValueError("the service returned other items than were asked for")
+        return [x["embedding"] for x in sorted(items, key=lambda x: x["index"])]
+
+    return model
+
+
+def quality_fixture(records: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records (doc_id, ...) and queries (query_id, ...), each with its vector; any without one raises."""
+    docs = records.join(embeddings.select("doc_id", "vector"), "doc_id", "left")
+    asked = queries.join(query_vectors.select("query_id", "vector"), "query_id", "left")
+    missing = docs.filter("vector is null").count(), asked.filter("vector is null").count()
+    if any(missing):
+        raise InvalidArgument(f"{missing[0]} records and {missing[1]} queries have no vector")
+    return docs, asked
