@@ -11,6 +11,10 @@ node pairs wholly within the threshold count as a block, and only the rest is
 compared point by point, in double precision.  A task returns each vector's number
 of links and a spanning forest of its links, never all pairs.
 
+Vectors of different lengths never meet.  Lengths of at most a chunk of vectors each
+are one task each, all in one plan, however many lengths there are; only those of more
+have cells, and there is less than one of these per chunk of vectors.
+
 Bounds are exact, so no pair is lost; how much they prune depends on the data.  For
 vectors without any cluster structure in many dimensions the number of chunk pairs
 is quadratic, as it is for every exact method that works by distance bounds.
@@ -266,19 +270,14 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosi
     classes = good.groupBy("print").agg(F.min("r").alias("r"), F.count("*").alias("m"))
     distinct = cut(good.drop("print", "id").join(classes.select("r", "m", "print"), "r"))
 
-    sizes = {x.dim: x.n for x in distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").limit(1024).collect()}
-    if len(sizes) > 1000:
-        raise ValueError("more than 1000 different vector lengths")
-    out = []
-    for dim in sizes:
+    sizes = distinct.groupBy("dim").agg(F.count("*").alias("n"))
+    large = [x.dim for x in sizes.filter(F.col("n") > chunk).orderBy("dim").collect()]
+    found = _links_of_short(distinct.join(sizes.filter(F.col("n") <= chunk).select("dim"), "dim", "left_semi"), cosine)
+    for dim in large:
         part = distinct.filter(F.col("dim") == dim)
         picked = part.orderBy(F.xxhash64("r"), "r").limit(SAMPLE).select("u").toArrow().column("u").to_pylist()
         centres = _cells(np.frombuffer(b"".join(picked), np.float64).reshape(-1, dim), CELLS)
-        out.append(_links_of(part, dim, centres, cosine, chunk))
-    spark = df.sparkSession
-    found = spark.createDataFrame([], "r long, links long, root long")
-    for x in out:
-        found = found.unionByName(x)
+        found = found.unionByName(_links_of(part, dim, centres, cosine, chunk))
     found = cut(found)
     comp = components(found.filter("r <> root").select(F.col("r").alias("u"), F.col("root").alias("v")))
     degree = found.groupBy("r").agg(F.sum("links").alias("links"))
@@ -288,9 +287,24 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosi
         .join(comp.withColumnRenamed("node", "r"), "r", "left")
         .select("print", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "r").alias("c"))
     )
-    all_rows = rows.select("r", "id", "print").join(state, "print", "left").select("r", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "r").alias("c"))
+    # Rows without a vector to compare stand alone and take no part in the joins: no key holds them all.
+    linked = good.select("r", "id", "print").join(state, "print").select("r", "id", F.col("n_links").cast("long").alias("n_links"), "c")
+    alone = rows.filter("u is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    all_rows = linked
     least = all_rows.groupBy("c").agg(F.min("id").alias("component_id"))
-    return all_rows.join(least, "c").select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = all_rows.join(least, "c").select("id", "n_links", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _links_of_short(part: DataFrame, cosine: float) -> DataFrame:
+    """(r, links, root) of distinct vectors of any lengths, each length of a chunk of vectors at most."""
+
+    def work(key, t):
+        u = np.frombuffer(b"".join(t.column("u").to_pylist()), np.float64).reshape(-1, key[0].as_py())
+        r, links, root = compare(t.column("r").to_numpy(), t.column("m").to_numpy(), u, np.zeros(len(u), np.int8), True, cosine)
+        return pa.table({"r": r, "links": links, "root": root})
+
+    return part.select("dim", "r", "m", "u").groupBy("dim").applyInArrow(work, "r long, links long, root long")
 
 
 def _links_of(part: DataFrame, dim: int, centres: np.ndarray, cosine: float, chunk: int) -> DataFrame:

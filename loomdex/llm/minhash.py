@@ -273,10 +273,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     # From distinct sets back to rows: sets by fingerprint, then the smallest id of a component.
     owner = first.join(comp.withColumnRenamed("node", "head"), "head", "left").select("print", F.coalesce("component", "head").alias("c"))
-    rows = found.select("r", "id", "n", "print").join(owner, "print", "left").select("r", "id", "n", F.coalesce("c", "r").alias("c"))
+    # Empty sets stand alone and take no part in the joins: no key holds them all.
+    rows = full.select("r", "id", "n", "print").join(owner, "print").select("r", "id", "n", "c")
+    alone = found.filter("n = 0").select(F.col("r").alias(ROW), "id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("first"))
     least = rows.groupBy("c").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "r"))["r"].alias("first"))
     out = rows.join(least, "c").select(F.col("r").alias(ROW), "id", F.col("n").alias("n_shingles"), "component_id", (F.col("r") == F.col("first")).alias("first"))
-    return out, links
+    for t in (likely, heads, rest):
+        drop(t)
+    return out.unionByName(alone), links
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

@@ -87,3 +87,15 @@ def test_tree_invariants():
             brothers = centre[parent == parent[k]]
             gaps = np.linalg.norm(u[brothers] - u[centre[k]], axis=1)
             assert (gaps[brothers != centre[k]] > embedding.RADII[level] - 1e-9).all()
+
+
+def test_any_number_of_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in range(1, 1201):
+        base = rng.normal(size=dim)
+        rows += [(10 * dim + k, [float(x) for x in (base if k < 2 else rng.normal(size=dim))]) for k in range(2)]
+    rows += [(50_000 + k, [float(x) for x in rng.normal(size=4)]) for k in range(60)]
+    df = spark.createDataFrame([(i, v, 1, 5, "x", 9) for i, v in rows], SCHEMA)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding.link(df, chunk=20).collect()), key=str)
+    assert got == brute(rows, 0.95)
