@@ -49,6 +49,8 @@ TOP = (1 << 16) - 2
 #: Pairs whose likeliest similarity is this far under the threshold are dropped:
 #: over six deviations of the estimate.
 SLACK = 0.22
+#: Pairs whose likelihoods are in memory at once.
+SLAB = 512
 _RNG = np.random.default_rng(20240501)
 _XOR = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,11 +183,11 @@ def _likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("su", "sv"))
-            j = joint(a, c, b.column("nu").to_numpy().astype(float), b.column("nv").to_numpy().astype(float))
-            yield b.filter(pa.array(j >= least - SLACK)).select(["u", "v"])
+            for lo in range(0, b.num_rows, SLAB):
+                part = b.slice(lo, SLAB)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("su", "sv"))
+                j = joint(x, y, part.column("nu").to_numpy().astype(float), part.column("nv").to_numpy().astype(float))
+                yield part.filter(pa.array(j >= least - SLACK)).select(["u", "v"])
 
     return both.select("u", "v", "su", "sv", "nu", "nv").mapInArrow(run, "u long, v long")
 

@@ -152,10 +152,10 @@ def frequencies(src: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
             counts = np.stack([np.add.reduceat(v.astype(np.int64), at) for v in (np.ones(len(row), np.int64), label == 1, label == 0)], axis=1)
             held.append((uniq, counts, words.strings(low, starts[at], size_[at])))
             size += len(uniq)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield _counted(*held[0])
                     held, size = [], 0
         if held:
