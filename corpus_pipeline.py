@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of `documents`.  Stages are tied by Parquet tables in the shared
 folder, so a lost executor never sends the work back further than one stage.
+
+Defined results, for every stage: rows with repeated or null ids stay rows of their
+own, other columns come through as they are, whatever their names; an empty table
+gives an empty one; a null text stays null, and no stage but the first rejects it or
+an empty one; ties between copies go to the smallest id, then the first row; a very
+long text is one row of one task and is read whole.
 """
 
 from __future__ import annotations
