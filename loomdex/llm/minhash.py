@@ -193,44 +193,32 @@ def _likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) with 100 * intersection >= percent * union of the full sets."""
-    side = lambda x, s: sets.select(F.col("r").alias(x), F.col("h").alias(s))
-    both = pairs.join(side("u", "hu"), "u").join(side("v", "hv"), "v").select("u", "v", "hu", "hv")
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+    """Pairs (u, v) with 100 * intersection >= percent * union of the full sets.
 
-    return both.mapInArrow(run, "u long, v long")
+    Sets meet as rows of the join, one pair at a time: no Arrow batch holds the sets of many pairs.
+    """
+    side = lambda x, s: sets.select(F.col("r").alias(x), F.col("h").alias(s))
+    joined = pairs.join(side("u", "hu"), "u").join(side("v", "hv"), "v")
+    sized = joined.select("u", "v", F.size(F.array_intersect("hu", "hv")).cast("long").alias("both"), (F.size("hu") + F.size("hv")).cast("long").alias("n"))
+    return sized.filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("u", "v")
 
 
 def _sets(src: DataFrame, k: int) -> DataFrame:
-    """(r, h): the sorted shingle hashes of each text, eight bytes each."""
+    """(r, h): the shingle hashes of each text, without repeats."""
 
     def run(batches):
         for part, raw, off in _groups(batches):
             row, h = shingles(raw, off, k)
             at = np.searchsorted(row, np.arange(len(off)))
-            yield pa.record_batch([part.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["r", "h"])
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], ["r", "h"])
 
-    return src.mapInArrow(run, "r long, h binary")
+    return src.mapInArrow(run, "r long, h array<long>")
 
 
 def _prefix_pairs(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a shingle of their prefixes."""
 
-    def run(batches):
-        for b in batches:
-            for key, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = np.frombuffer(x.as_buffer(), np.int64)
-                yield pa.record_batch([pa.array(np.full(len(h), key)), pa.array(h), pa.array(np.full(len(h), len(h)))], ["r", "x", "n"])
-
-    cells = sets.mapInArrow(run, "r long, x long, n long")
+    cells = sets.select("r", F.explode("h").alias("x"), F.size("h").cast("long").alias("n"))
     often = cells.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = cells.join(often, "x", "left").withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(F.coalesce("df", F.lit(1)), "x")))
     # A set over the threshold shares percent of itself: its first n - ceil(percent n) + 1 shingles can't all be missing.

@@ -77,6 +77,18 @@ def test_repeated_and_null_ids(spark, docs_of):
     assert minhash.digest(docs_of([])).count() == 0
 
 
+def test_full_sets_meet_outside_of_arrow_batches(spark):
+    # A hub of many pairs: with their sets in Arrow batches, an executor took over 3000 MB.
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(63) - (1 << 62) for _ in range(400)]
+    sets = [(0, base)] + [(k, base[k:] + [rnd.getrandbits(63) - (1 << 62) for _ in range(k)]) for k in range(1, 60)]
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 60)], "u long, v long")
+    found = minhash._confirmed(pairs, spark.createDataFrame(sets, "r long, h array<long>"), 85)
+    want = [k for k in range(1, 60) if 100 * (400 - k) >= 85 * (400 + k)]
+    assert sorted(r.v for r in found.collect()) == want and 0 < len(want) < 59
+    assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.85, 1.0):
