@@ -99,3 +99,44 @@ def test_any_number_of_lengths(spark):
     df = spark.createDataFrame([(i, v, 1, 5, "x", 9) for i, v in rows], SCHEMA)
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding.link(df, chunk=20).collect()), key=str)
     assert got == brute(rows, 0.95)
+
+
+def test_chunks_are_read_and_not_copied_for_each_pair(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x[1200:] = x[:300] + 0.03 * rng.normal(size=(300, 64))
+    df = spark.createDataFrame([(k, [float(a) for a in v], 1, 5, "x", 9) for k, v in enumerate(x)], SCHEMA)
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding.link(df, chunk=50).collect())
+    took = shuffled() - before
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    assert got == [(k, int(linked[k].sum()) - 1, int(linked[k].argmax())) for k in range(1500)]
+    assert took < 5 * u.nbytes, took / u.nbytes  # 9.0 times with a copy for each pair of chunks
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.05, 0.3, 3.0])
+def test_filter_loses_no_pair(noise):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([b + noise * rng.normal(size=(100, 40)) for b in rng.normal(size=(6, 40))] + [rng.normal(size=(300, 40))])
+    x *= np.linspace(3, 0.2, 40)  # some directions carry most
+    u = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    for cosine in (0.5, 0.95):
+        frame = embedding._frame(u, cosine)
+        exact = u @ u.T
+        want, sure = np.triu(exact >= cosine, 1), np.abs(exact - cosine) > 1e-12
+        for f in (frame, None):
+            rows, got = embedding._filtered(u, f), np.zeros((900, 900), bool)
+            for i, j in embedding._close(u, u, rows, rows, True, cosine):
+                got[i, j] = True
+            assert (got == want)[sure].all()
+        one = np.arange(900), np.ones(900, np.int64), u, embedding._filtered(u, frame)
+        r, links, _ = embedding.meet(one, one, True, cosine)
+        assert links.sum() == 2 * want.sum() and len(r) <= 900
