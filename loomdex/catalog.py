@@ -230,7 +230,7 @@ _EN_FILTER = {"language": "en", "from": "2026-01-02T00:00:00Z", "to": "2026-01-1
 
 @register("hybrid_filtered", fused_sql(100, where=_EN) + _EXPLAIN)
 def hybrid_filtered(spark, d):
-    ids = filters.eligible_ids(metadata(spark, d), filters.SearchFilter.parse(_EN_FILTER))
+    ids = filters.admitted(metadata(spark, d), filters.SearchFilter.parse(_EN_FILTER))
     return _explained(_hybrid(spark, d, eligible=ids))
 
 

@@ -92,9 +92,14 @@ def predicate(df: DataFrame, f: SearchFilter) -> DataFrame:
     return df
 
 
+def admitted(metadata: DataFrame, f: SearchFilter) -> DataFrame:
+    """(doc_id) admitted by the filter, however many: a frame that searches join where it lies."""
+    return predicate(metadata, f).select("doc_id")
+
+
 def eligible_ids(metadata: DataFrame, f: SearchFilter, most: int = MAX_ELIGIBLE) -> DataFrame:
-    """(doc_id) admitted by the filter; more than `most` is an error, never a cut."""
-    ids = predicate(metadata, f).select("doc_id").distinct()
+    """(doc_id) admitted by the filter, for lists that one machine holds; more than `most` is an error, never a cut."""
+    ids = admitted(metadata, f).distinct()
     if ids.limit(most + 1).count() > most:
         raise LimitExceeded(f"the filter admits more than {most} documents")
     return ids

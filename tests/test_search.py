@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import tempfile
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomdex import catalog
 from loomdex.errors import InvalidArgument, LimitExceeded
 from loomdex.operators import bm25, filters, hybrid, vector
 
@@ -100,3 +102,20 @@ def test_filters(spark):
     for bad in ({}, {"x": "y"}, {"domain": 1}, {"domain": "a b"}, {"from": "2026-01-01T00:00:00"}, {"from": "2026-01-02T00:00:00Z", "to": "2026-01-01T00:00:00Z"}):
         with pytest.raises(InvalidArgument):
             filters.SearchFilter.parse(bad)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """A corpus whose filter admits more documents than `eligible_ids` lists, as folder for the queries."""
+    root = tempfile.mkdtemp(prefix="loomdex-many-")
+    n = F.col("id")
+    docs = spark.range(50_000).select(n.alias("doc_id"), F.when(n % 7 == 0, "the word with ing").otherwise("the word of text").alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{root}/documents.parquet")
+    spark.range(200).select(n.alias("vec_id"), F.array_repeat(n.cast("float"), 64).alias("embedding")).write.parquet(f"{root}/embeddings.parquet")
+    assert filters.predicate(catalog.metadata(spark, root), filters.SearchFilter.parse(catalog._EN_FILTER)).count() > filters.MAX_ELIGIBLE
+    return root
+
+
+def test_a_filter_of_many_documents_is_searched_whole(spark, many):
+    got = catalog.QUERIES["hybrid_filtered"](spark, many).collect()
+    assert [(r.doc_id, r.bm25_rank, r.vector_rank) for r in got] == [(28 + 7 * j, 1 + j, 5 + 7 * j) for j in range(10)]
