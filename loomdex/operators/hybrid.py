@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from . import bm25, vector
-from .filters import SearchFilter, eligible_ids
+from .filters import SearchFilter, admitted, eligible_ids
 
 RRF_K = 60
 METADATA = ("target_uri", "warc_date", "content_type", "http_status", "payload_digest", "source_file", "text_len")
@@ -83,6 +83,6 @@ def search_filtered(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, qu
 
 
 def explain_filtered(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, query: str, query_vector, filters: SearchFilter, k: int = 10, candidate_k: int = 100, columns=METADATA + FACETS, state: DataFrame | None = None, **weights) -> DataFrame:
-    """The same with ranks, contributions and metadata of every hit."""
-    ids = eligible_ids(metadata, filters)
+    """Search within the documents that the filter admits, however many, with ranks, contributions and metadata of every hit."""
+    ids = admitted(metadata, filters)
     return with_metadata(explain(docs, vectors, query, query_vector, k, candidate_k, eligible=ids, state=state, **weights), metadata, columns)

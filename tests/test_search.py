@@ -119,3 +119,8 @@ def many(spark):
 def test_a_filter_of_many_documents_is_searched_whole(spark, many):
     got = catalog.QUERIES["hybrid_filtered"](spark, many).collect()
     assert [(r.doc_id, r.bm25_rank, r.vector_rank) for r in got] == [(28 + 7 * j, 1 + j, 5 + 7 * j) for j in range(10)]
+
+
+def test_filtered_explain_with_metadata_is_searched_whole(spark, many):
+    got = catalog.QUERIES["hybrid_filtered_explain_metadata"](spark, many).collect()
+    assert sorted((r.doc_id, r.bm25_rank, r.vector_rank, r.domain) for r in got) == [(28 + 7 * j, 1 + j, 5 + 7 * j, "src1.example") for j in range(10)]
