@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from . import bm25, vector
-from .filters import SearchFilter, admitted, eligible_ids
+from .filters import SearchFilter, admitted
 
 RRF_K = 60
 METADATA = ("target_uri", "warc_date", "content_type", "http_status", "payload_digest", "source_file", "text_len")
@@ -77,8 +77,8 @@ def search_metadata(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, qu
 
 
 def search_filtered(docs: DataFrame, vectors: DataFrame, metadata: DataFrame, query: str, query_vector, filters: SearchFilter, k: int = 10, columns=METADATA + FACETS, state: DataFrame | None = None) -> DataFrame:
-    """Search within the documents that the filter admits; their number is bounded by an error."""
-    ids = eligible_ids(metadata, filters)
+    """Search within the documents that the filter admits, however many."""
+    ids = admitted(metadata, filters)
     return with_metadata(search(docs, vectors, query, query_vector, k, ids, state), metadata, columns)
 
 

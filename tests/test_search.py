@@ -124,3 +124,8 @@ def test_a_filter_of_many_documents_is_searched_whole(spark, many):
 def test_filtered_explain_with_metadata_is_searched_whole(spark, many):
     got = catalog.QUERIES["hybrid_filtered_explain_metadata"](spark, many).collect()
     assert sorted((r.doc_id, r.bm25_rank, r.vector_rank, r.domain) for r in got) == [(28 + 7 * j, 1 + j, 5 + 7 * j, "src1.example") for j in range(10)]
+
+
+def test_filtered_search_with_metadata_is_searched_whole(spark, many):
+    got = catalog.QUERIES["hybrid_metadata"](spark, many).collect()
+    assert sorted(r.doc_id for r in got) == [24, 25, 26, 27, 28, 29, 35, 42, 49, 56] and {r.domain for r in got} == {"src1.example"}
