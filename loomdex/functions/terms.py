@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from ..errors import LimitExceeded
 from .text import CJK_RANGES, LOWER, MAX_TERM_BYTES, UPPER
 
-GROUP = 1 << 20
+#: Bytes of the rows that are counted together, and of the words that are hashed together.
+GROUP, BLOCK = 1 << 18, 1 << 16
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -46,21 +47,42 @@ def words_of(text: str) -> list[str]:
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """Bytes and row ends of a string column, read where they lie; only a column with nulls is copied."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), ends
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), ends.astype(np.int64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(_BASE, BLOCK), _powers(_UNBASE, BLOCK)
 
 
 def _hashes(low: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    power = np.full(len(low), _BASE, np.uint64)
-    power[:1] = 1
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_CODE[low] * np.cumprod(power), out=sums[1:])
-    power[1:] = _UNBASE
-    h = (sums[starts + size] - sums[starts]) * np.cumprod(power)[starts] + size.astype(np.uint64)
+    """Hashes of words in ascending order, over blocks of about BLOCK bytes or one longer word."""
+    h = np.zeros(len(starts), np.uint64)
+    stop = starts + size
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(stop, starts[a] + BLOCK, side="right")))
+        lo, n = starts[a], int(stop[b - 1] - starts[a])
+        up, down = (_UP, _DOWN) if n <= BLOCK else (_powers(_BASE, n), _DOWN)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODE[low[lo : lo + n]] * up[:n], out=sums[1:])
+        at = starts[a:b] - lo
+        h[a:b] = (sums[at + size[a:b]] - sums[at]) * down[at]
+        a = b
+    h += size.astype(np.uint64)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
@@ -77,3 +78,13 @@ def test_scan_of_many_queries_equals_the_join(spark, monkeypatch, most):
 
 def test_hidden_vectors_leave_the_equivalent_sql(spark):
     assert "v0 AS" in catalog.ORACLE_SQL["hybrid_visible"] and "FROM v0 WHERE" in catalog.ORACLE_SQL["hybrid_visible"]
+
+
+def test_counting_holds_little_beyond_the_text():
+    text = " ".join(f"word{k}" for k in range(100))
+    for column, most in ((pa.array([text] * 5000), 16e6), (pa.array([" ".join([text] * 5000)]), 80e6)):
+        tracemalloc.start()
+        n = sum(int(c.lengths.sum()) for _, _, c in terms.counted(column))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 500_000 and peak < most
