@@ -131,6 +131,24 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, term string, tf int")
 
 
+def counted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, term, tf, doc_len): postings with the length of their row, and a row of null term for every document, in one scan."""
+
+    def run(batches):
+        names = ["doc_id", "term", "tf", "doc_len"]
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j, c in counted(batch.column(1)):
+                lengths = c.lengths.astype(np.int32)
+                yield pa.record_batch([ids.slice(i, j - i), pa.nulls(j - i, pa.string()), pa.nulls(j - i, pa.int32()), pa.array(lengths)], names)
+                yield pa.record_batch([ids.take(pa.array(c.row + i)), c.strings(), pa.array(c.tf.astype(np.int32)), pa.array(lengths[c.row])], names)
+                for r, bag in c.wide.items():
+                    n = len(bag)
+                    yield pa.record_batch([pa.array([ids[i + r].as_py()] * n, pa.int64()), pa.array(list(bag), pa.string()), pa.array(list(bag.values()), pa.int32()), pa.array(np.full(n, lengths[r]))], names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, term string, tf int, doc_len int")
+
+
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_len), the number of tokens."""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from pathlib import Path
 
@@ -29,34 +30,48 @@ def key_of(term: str) -> str:
     return LONG_TERM_PREFIX + hashlib.sha256(raw).hexdigest() if len(raw) > LONG_TERM_BYTES else term
 
 
-def keyed_postings(docs: DataFrame) -> DataFrame:
+def keyed(raw: DataFrame) -> DataFrame:
     """Postings under their stored keys; two long terms with one key raise."""
-    raw = bm25.postings(docs)
     long = raw.filter(F.octet_length("term") > LONG_TERM_BYTES).select("term").distinct()
     if not long.groupBy(term_key(F.col("term")).alias("key")).count().filter("count > 1").isEmpty():
         raise HashCollision("two long terms share a key")
     return raw.withColumn("term", term_key(F.col("term")))
 
 
+def keyed_postings(docs: DataFrame) -> DataFrame:
+    return keyed(bm25.postings(docs))
+
+
 class StoredIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, Path(path)
 
     def build(self, docs: DataFrame) -> str:
         """Write a new version and make it current; returns its name."""
-        name = f"v-{uuid.uuid4().hex}"
-        base = self.path / name
-        lengths = bm25.doc_lengths(docs)
+        base = self.path / f"v-{uuid.uuid4().hex}"
+        return self._write(base, *self._counted(base, docs))
+
+    def _counted(self, base: Path, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lengths and postings of some documents, from a table that one scan of their texts writes.
+
+        The range partitioning reads its input twice and the check of keys once: they
+        read this table, not the texts.
+        """
+        bm25.counted_rows(docs).write.option("compression", "zstd").parquet(str(base / "counted"))
+        rows = self.spark.read.parquet(str(base / "counted"))
+        postings = keyed(rows.filter("term is not null and doc_id is not null"))
+        return rows.filter("term is null").select("doc_id", "doc_len"), postings.select("doc_id", "term", "tf", "doc_len")
+
+    def _write(self, base: Path, lengths: DataFrame, postings: DataFrame) -> str:
         lengths.write.parquet(str(base / "lengths"))
-        stored = keyed_postings(docs).join(self.spark.read.parquet(str(base / "lengths")), "doc_id")
-        stored.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(str(base / "postings"))
-        written = self.spark.read.parquet(str(base / "postings"))
-        bm25.doc_frequency(written).sort("term").write.parquet(str(base / "terms"))
+        postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(str(base / "postings"))
+        bm25.doc_frequency(self.spark.read.parquet(str(base / "postings"))).sort("term").write.parquet(str(base / "terms"))
         stats = bm25.corpus_stats(self.spark.read.parquet(str(base / "lengths"))).first()
         part = self.path / f".{uuid.uuid4().hex}"
-        part.write_text(json.dumps({"current": name, "doc_count": stats.doc_count, "avg_doc_len": stats.avg_doc_len}))
+        part.write_text(json.dumps({"current": base.name, "doc_count": stats.doc_count, "avg_doc_len": stats.avg_doc_len}))
         os.replace(part, self.path / "_current.json")
-        return name
+        shutil.rmtree(base / "counted", ignore_errors=True)
+        return base.name
 
     def _current(self) -> dict:
         at = self.path / "_current.json"
@@ -88,28 +103,13 @@ class StoredIndex:
         """A new version with the given documents replaced or added (doc_id, text)."""
         base = self.path / f"v-{uuid.uuid4().hex}"
         ids = docs.select("doc_id")
-        keep = self.table("lengths").join(ids, "doc_id", "left_anti").unionByName(bm25.doc_lengths(docs))
-        keep.write.parquet(str(base / "lengths"))
-        new = keyed_postings(docs).join(bm25.doc_lengths(docs), "doc_id")
-        merged = self.table("postings").join(ids, "doc_id", "left_anti").unionByName(new, allowMissingColumns=False)
-        merged.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(str(base / "postings"))
-        bm25.doc_frequency(self.spark.read.parquet(str(base / "postings"))).sort("term").write.parquet(str(base / "terms"))
-        stats = bm25.corpus_stats(self.spark.read.parquet(str(base / "lengths"))).first()
-        part = self.path / f".{uuid.uuid4().hex}"
-        part.write_text(json.dumps({"current": base.name, "doc_count": stats.doc_count, "avg_doc_len": stats.avg_doc_len}))
-        os.replace(part, self.path / "_current.json")
-        return base.name
+        lengths, postings = self._counted(base, docs)
+        keep = self.table("lengths").join(ids, "doc_id", "left_anti").unionByName(lengths)
+        merged = self.table("postings").join(ids, "doc_id", "left_anti").unionByName(postings)
+        return self._write(base, keep, merged)
 
     def remove(self, ids: DataFrame) -> str:
         """A new version without the documents of (doc_id)."""
         base = self.path / f"v-{uuid.uuid4().hex}"
         gone = ids.select("doc_id").distinct()
-        self.table("lengths").join(gone, "doc_id", "left_anti").write.parquet(str(base / "lengths"))
-        rest = self.table("postings").join(gone, "doc_id", "left_anti")
-        rest.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(str(base / "postings"))
-        bm25.doc_frequency(self.spark.read.parquet(str(base / "postings"))).sort("term").write.parquet(str(base / "terms"))
-        stats = bm25.corpus_stats(self.spark.read.parquet(str(base / "lengths"))).first()
-        part = self.path / f".{uuid.uuid4().hex}"
-        part.write_text(json.dumps({"current": base.name, "doc_count": stats.doc_count, "avg_doc_len": stats.avg_doc_len}))
-        os.replace(part, self.path / "_current.json")
-        return base.name
+        return self._write(base, self.table("lengths").join(gone, "doc_id", "left_anti"), self.table("postings").join(gone, "doc_id", "left_anti"))

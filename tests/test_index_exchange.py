@@ -4,7 +4,7 @@ import pytest
 
 from loomdex.errors import InvalidArgument, StateConflict
 from loomdex.operators import bm25, quality
-from loomdex.plans.index import StoredIndex
+from loomdex.plans.index import StoredIndex, keyed_postings
 from loomdex.sources import exchange
 
 
@@ -26,6 +26,23 @@ def test_stored_index_searches_like_a_scan(spark, tmp_path):
     assert "PushedFilters: [In(term" in plan or "PushedFilters: [Or" in plan or "In(term, [aa,bb])" in plan
 
 
+def test_index_build_counts_each_text_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(k, "aa " * (k % 4) + "bb " * (k % 3) + "x" * 3000 * (k % 2)) for k in range(40)] + [(98, None), (99, ""), (97, "日本 aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = StoredIndex(spark, str(tmp_path))
+    name = index.build(docs.mapInArrow(read, docs.schema))
+    assert seen.value == len(rows) and not (tmp_path / name / "counted").exists()
+    assert index.table("lengths").count() == len(rows) and index.table("postings").select("doc_id", "doc_len").distinct().count() == 37
+    assert sorted(index.table("terms").collect()) == sorted(bm25.doc_frequency(keyed_postings(docs)).collect())
+
+
 def test_embeddings_are_checked_whole(spark, tmp_path):
     def file(name, rows):
         (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows))
